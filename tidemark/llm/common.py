@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:

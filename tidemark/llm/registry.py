@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemark.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sharding": op10_sharding}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+    }
