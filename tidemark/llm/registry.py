@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tidemark.llm.packing import op5_packing
 from tidemark.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op5_packing": op5_packing,
         "op10_sharding": op10_sharding,
     }
 
