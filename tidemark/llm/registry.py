@@ -11,6 +11,7 @@ from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemark.llm.media import op9_media
 from tidemark.llm.packing import op5_packing
 from tidemark.llm.sharding import op10_sharding
+from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_counts import op3_token_counts
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_media": op9_media,
         "op10_sharding": op10_sharding,
     }
