@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemark.llm.media import op9_media
+from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.packing import op5_packing
 from tidemark.llm.sharding import op10_sharding
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
@@ -18,6 +19,7 @@ from tidemark.llm.token_counts import op3_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_near_dedup": op2_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,

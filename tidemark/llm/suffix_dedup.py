@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, shuffle_partitions, sliced, stage, text_of, with_row
+from tidemark.llm.common import documents, packed_texts, shuffle_partitions, sliced, stage, text_of, with_row
 
 LENGTH, ANCHOR = 200, 48
 #: Distinct contexts of one anchor that one task sorts; anchors with more are dealt out by window hash.
@@ -250,18 +250,6 @@ def _contexts(length: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(1)
-    for batch in sliced(batches, "_text"):
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array([pack.compress(x) for x in batch.column("_text").cast(pa.binary()).to_pylist()], pa.binary())], names=["_row", "_id", "_zstd"])
-
-
-def packed_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_row, _id and the compressed text: what texts cost in a shuffle."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).mapInArrow(_pack, f"_row long, _id {kind}, _zstd binary")
-
-
 def covered(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """_row, _spans: the covered byte ranges of rows that have any, unmerged. ``rows`` has a row number, _row."""
     found = stage(rows.select("_row", text_of(text_col).alias("_text")).filter(F.octet_length("_text") >= length).mapInArrow(_find_runs(length), "_h long, _c long, _row long, _lo int, _n smallint, _off smallint"), "runs")
