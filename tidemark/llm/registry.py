@@ -12,6 +12,7 @@ from tidemark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tidemark.llm.media import op9_media
 from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.packing import op5_packing
+from tidemark.llm.quality import op8_quality
 from tidemark.llm.sharding import op10_sharding
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_counts import op3_token_counts
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_quality": op8_quality,
         "op9_media": op9_media,
         "op10_sharding": op10_sharding,
     }
