@@ -1,12 +1,67 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Each stage works on all that its predecessor kept: the quality classifier drops what it rejects, exact dedup and
+near-dedup keep one document of each group, suffix dedup cuts long repeated passages out of the texts that are left,
+and packing lays what remains into sequences. All but the last return the columns of ``documents``, and whatever other
+columns the input has.
+
+Defined cases are those of the operators. A document whose whole text is a repeat stays with an empty text; ``n_chars``
+follows the text where the column exists. A null text that loses nothing stays null.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release()
+    return quality.accepted(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release()  # the stage before was written: what it had staged can go
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release()
+    return near_dedup.one_of_each(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release()
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release()
+    return packing.pack(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None  # no stage but the second can be said in SQL
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("suffix-array dedup", cut_passages),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # classifier, sketches and packing can't be said in SQL; tests/llm holds brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents in ``sf_dir``; each stage's rows are written to the shared folder before the next begins."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        found = stage(spark, docs, sf_dir)
+        found.write.parquet(f"{root}/{k}")
+        docs = spark.read.schema(found.schema).parquet(f"{root}/{k}")
+    common.release()
+    common.delete_on_exit(spark, root)
+    return docs

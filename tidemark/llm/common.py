@@ -31,12 +31,16 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_on_exit(spark, path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 def release(keep: int = 0) -> None:
     """Delete staged tables, but for the newest ``keep``; results that still read them must have been written before."""
     while len(_staged) > keep:

@@ -317,6 +317,32 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return joined.mapInArrow(_cut, f"_row long, doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The input with repeated strings cut out of its texts; rows and other columns stay, an ``n_chars`` column follows the
+    text. A character that was cut in part goes whole. Only texts that lose something are changed."""
+    rows = with_row(df, "_cut_row")
+    spans = covered(rows.withColumn("_row", F.col("_cut_row")), id_col, text_col, length).select(F.col("_row").alias("_cut_row"), "_spans")
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced([whole], text_col, 2 << 20):
+                texts = []
+                for text, found in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                    if found:
+                        text = kept_bytes(text.encode(), merged([(x["start"], x["end"]) for x in found])).decode("utf-8", "ignore")
+                    texts.append(text)
+                columns = batch.columns[: len(df.columns)]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+
+    joined = rows.join(spans, "_cut_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_spans")
+    out = joined.mapInArrow(run, df.schema)
+    if text_col == "text" and "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType))
+    return out
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
