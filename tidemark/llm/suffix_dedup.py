@@ -322,7 +322,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text. A character that was cut in part goes whole. Only texts that lose something are changed."""
     rows = with_row(df, "_cut_row")
     spans = covered(rows.withColumn("_row", F.col("_cut_row")), id_col, text_col, length).select(F.col("_row").alias("_cut_row"), "_spans")
-    at = df.columns.index(text_col)
+    names = df.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -332,9 +333,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if found:
                         text = kept_bytes(text.encode(), merged([(x["start"], x["end"]) for x in found])).decode("utf-8", "ignore")
                     texts.append(text)
-                columns = batch.columns[: len(df.columns)]
+                columns = batch.columns[: len(names)]
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = rows.join(spans, "_cut_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_spans")
     out = joined.mapInArrow(run, df.schema)
