@@ -15,7 +15,9 @@ rows with equal ids are packed as separate documents; an empty table gives no ro
 from __future__ import annotations
 
 import heapq
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,39 +37,79 @@ from tidemark.llm.common import documents, sliced, stage, text_of
 WORD_BPE = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
 #: Chunks between white space whose ids a worker remembers; beyond it the memory starts anew.
-CHUNKS_KEPT = 150_000
+CHUNKS_KEPT = 400_000
+END_MARK = b"\xff"
+# Fixed value: the word pattern of the tokenizer's file.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Places in patterns (their number grows with lengths and depth, not with pieces) that are broadcast; more are joined by shuffle.
+SLOTS_BROADCAST = 400_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() cuts there, the tokenizer doesn't
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer drops white space and lets no token cross it, so chunks between white space
-    are encoded once and remembered."""
+    """Ids of whole texts, as the tokenizer's file defines them.
+
+    The tokenizer drops white space and lets no token cross it or the bounds of its words, so both chunks between
+    white space and words are encoded once and remembered. Words are merged by a byte-pair core: the mark of a
+    word's end becomes a byte that UTF-8 never has, and ids ascend with the order of merges."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        of_char = {c: b for b, c in _byte_chars().items()}
+        mark = model["end_of_word_suffix"]
+        ranks = {}
+        for token, number in model["vocab"].items():
+            stem = token.removesuffix(mark) if token.endswith(mark) and token != mark else token
+            if all(c in of_char for c in stem):
+                ranks[bytes(of_char[c] for c in stem) + END_MARK * (stem != token)] = number
+        self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.split = regex.compile(WORD_PATTERN).findall
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
+        chunk = chunk.lower() if "\u03a3" not in chunk else "".join(map(str.lower, chunk))
+        out = []
+        for word in self.split(chunk):
+            if (ids := self.words.get(word)) is None:
+                ids = self.words[word] = np.array(self.core.encode_single_piece(word.encode() + END_MARK), "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         for text in texts:
             if _ODD_SPACE.search(text):
-                yield self._encode([text])[0]
+                yield self._whole(text)
                 continue
             chunks = text.split()
             try:
-                yield b"".join(map(self.known.__getitem__, chunks))
+                yield b"".join(map(self.chunks.__getitem__, chunks))
             except KeyError:
-                if len(self.known) > CHUNKS_KEPT:
-                    self.known = {}
-                new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-                self.known.update(zip(new, self._encode(new), strict=True))
-                yield b"".join(map(self.known.__getitem__, chunks))
+                if len(self.chunks) > CHUNKS_KEPT:
+                    self.chunks = {}
+                if len(self.words) > CHUNKS_KEPT:
+                    self.words = {}
+                for chunk in set(chunks).difference(self.chunks):
+                    self.chunks[chunk] = self._chunk(chunk)
+                yield b"".join(map(self.chunks.__getitem__, chunks))
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 @lru_cache(2)
@@ -150,11 +194,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     pieces = stage(encoded.mapInArrow(_pieces(str(path), capacity, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, _part int, _number long"), "pieces")
     counts = stage(pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
-    slots = spark.createDataFrame(pattern_slots(pack_histogram(histogram, capacity)), "length long, _from long, _to long, _sequence long, _offset long")
+    table = pattern_slots(pack_histogram(histogram, capacity))
+    slots = spark.createDataFrame(table, "length long, _from long, _to long, _sequence long, _offset long")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = pieces.join(bases, ["_part", "length"]).withColumn("_rank", F.col("_base") + F.col("_number"))
-    placed = ranked.join(F.broadcast(slots), "length").filter("_rank >= _from AND _rank < _to")  # slots: bounded by lengths, not by pieces
+    slots = F.broadcast(slots) if len(table) <= SLOTS_BROADCAST else slots
+    placed = ranked.join(slots, "length").filter("_rank >= _from AND _rank < _to")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
