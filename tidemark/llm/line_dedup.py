@@ -155,12 +155,13 @@ def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unique = stage(unique, "unique-lines")
     one = F.struct("_row", "_pos")
     own = unique.select(one.alias("_x"), F.explode("_own").alias("_key"))
-    asks = unique.select(one.alias("_y"), F.explode(F.concat("_own", "_probe")).alias("_key"))
-    shared = stage(asks.groupBy("_key").agg(F.min("_y").alias("_y0"), F.max("_y").alias("_y1")).filter("_y0 != _y1").select("_key"), "shared-keys")
+    asks = unique.select(one.alias("_y"), F.explode("_probe").alias("_key"))
+    shared = stage(own.select(F.col("_x").alias("_y"), "_key").unionAll(asks).groupBy("_key").agg(F.min("_y").alias("_y0"), F.max("_y").alias("_y1")).filter("_y0 != _y1").select("_key"), "shared-keys")
     own, asks = (stage(x.join(shared, "_key", "left_semi"), "segments") for x in (own, asks))
-    # two lines of one length find each other from both sides: distinct() leaves each pair once
-    pairs = own.join(asks, "_key").filter("_x != _y").select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    pairs = stage(pairs, "line-pairs")
+    # segments in their own places are met from one side only; the other probes are for shorter lines or shifted places
+    same = own.join(own.select("_key", F.col("_x").alias("_y")), "_key").filter("_x < _y").select("_x", "_y")
+    moved = own.join(asks, "_key").filter("_x != _y").select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+    pairs = stage(same.unionAll(moved).distinct(), "line-pairs")
     needed = stage(pairs.select(F.explode(F.array("_x._row", "_y._row")).alias("_row")).distinct(), "needed-rows")
     wanted = stage(pairs.select(F.explode(F.array("_x", "_y")).alias("_x")).distinct().select("_x", "_x._row"), "wanted-lines")
     texts = rows.select("_row", "_text").join(needed, "_row", "left_semi").join(wanted, "_row").select("_x", F.element_at(F.split("_text", "\n"), F.col("_x._pos") + 1).alias("_line"))
