@@ -10,8 +10,9 @@ suffixes of a corpus is out of reach, so only suffixes whose first ``length`` by
 3. Other runs, one for each distinct context, meet by anchor. Their suffixes are mergesorted; a comparison finds the
    common extension by binary search on the prefix hashes, and extensions of ``length`` bytes or more between
    neighbours are verified byte by byte. Anchors with very many distinct contexts, which would make one task large,
-   are dealt out by window hash instead, where equal windows are pre-aggregated before the shuffle; this exact way
-   takes two independent hashes as its verification.
+   are dealt out by window hash instead: equal windows of a batch are settled where they are, and one of each goes on
+   to a part of the anchor's windows that grows no larger with the corpus; this exact way takes two independent
+   hashes as its verification.
 
 Defined cases: a null or empty text has no bytes and loses none; texts shorter than ``length`` lose none; matches never
 cross texts, overlapping matches in one text count; equal texts of ``length`` bytes or more lose everything; rows with
@@ -36,7 +37,11 @@ from tidemark.llm.common import documents, packed_texts, shuffle_partitions, sli
 LENGTH, ANCHOR = 200, 48
 #: Distinct contexts of one anchor that one task sorts; anchors with more are dealt out by window hash.
 TASK_CONTEXTS = 256
+#: Contexts whose windows meet in one task there, about.
+PART_CONTEXTS = 4096
 PLACE_BITS = 28  # of a place in a batch of texts
+#: Windows of a long text that are hashed at a time.
+SEGMENT = 16 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MASK = (1 << 64) - 1
 
@@ -116,11 +121,20 @@ def runs(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     return owner, first - starts[owner], many, at - first, anchors[at].view(np.int64), context.view(np.int64)
 
 
+def segmented(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """(text, first byte, bytes): long texts in segments that overlap by less than one window, so each window is in one."""
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), SEGMENT):
+            yield k, at, text[at : at + SEGMENT + length - 1]
+
+
 def _find_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text", 1 << 20):
-            owner, first, many, off, h, c = runs(batch.column("_text").cast(pa.binary()).to_pylist(), length)
-            rows = batch.column("_row").take(pa.array(owner))
+            source, begin, parts = zip(*segmented(batch.column("_text").cast(pa.binary()).to_pylist(), length), strict=True)
+            owner, first, many, off, h, c = runs(list(parts), length)
+            first = first + np.array(begin, np.int64)[owner]
+            rows = batch.column("_row").take(pa.array(np.array(source, np.int64)[owner]))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), rows, pa.array(first.astype(np.int32)), pa.array(many.astype(np.int16)), pa.array(off.astype(np.int16))], names=["_h", "_c", "_row", "_lo", "_n", "_off"])
 
     return run
@@ -137,6 +151,8 @@ class SuffixOrder:
         """Length of the common extension of the suffixes at i and j, up to ``most``: binary search on hashes."""
         sums, low, high = self.sums, 0, most
         pi, pj, si, sj = self.power[i], self.power[j], sums[i], sums[j]
+        if not ((sums[i + most] - si) * pj - (sums[j + most] - sj) * pi) & MASK:
+            return most
         while low < high:
             middle = (low + high + 1) >> 1
             if ((sums[i + middle] - si) * pj - (sums[j + middle] - sj) * pi) & MASK:
@@ -156,16 +172,30 @@ class SuffixOrder:
 
 
 def repeated_windows(contexts: list[bytes], offs: list[int], length: int) -> list[np.ndarray]:
-    """For contexts of one anchor, which of their windows also begin another context's window."""
-    order = SuffixOrder(b"".join(contexts))
-    starts = np.cumsum([0, *map(len, contexts)])[:-1].tolist()
-    found = [np.zeros(len(x) - length + 1, bool) for x in contexts]
-    for shift in range(-max(offs), length):  # windows at one distance from the anchor
-        suffixes = {starts[k] + w: (k, w) for k, off in enumerate(offs) if 0 <= (w := off + shift) < len(found[k])}
-        if len(suffixes) < 2:
-            continue
+    """For contexts of one anchor, which of their windows also begin another context's window.
+
+    Windows whose own hash occurs once are left out before sorting: their extensions are shorter than ``length``."""
+    data = b"".join(contexts)
+    counts = np.array([len(x) - length + 1 for x in contexts])
+    starts = np.cumsum([0, *map(len, contexts)])[:-1]
+    found = [np.zeros(n, bool) for n in counts]
+    owner = np.repeat(np.arange(len(contexts)), counts)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = Prefixes(np.frombuffer(data, np.uint8)).all(length)[starts[owner] + within]
+    by_hash = np.argsort(hashes, kind="stable")
+    same = hashes[by_hash][1:] == hashes[by_hash][:-1]
+    may = np.zeros(len(hashes), bool)
+    may[by_hash[1:][same]] = may[by_hash[:-1][same]] = True
+    may = np.flatnonzero(may)
+    if not len(may):
+        return found
+    order = SuffixOrder(data)
+    by_shift: dict[int, dict[int, tuple[int, int]]] = {}
+    for k, w in zip(owner[may].tolist(), within[may].tolist(), strict=True):  # windows at one distance from the anchor together
+        by_shift.setdefault(w - offs[k], {})[int(starts[k]) + w] = (k, w)
+    for suffixes in by_shift.values():
         for i, j in pairwise(order.sort(list(suffixes), length)):
-            if order.extension(i, j, length) == length and order.data[i : i + length] == order.data[j : j + length]:
+            if order.extension(i, j, length) == length and data[i : i + length] == data[j : j + length]:
                 for k, w in (suffixes[i], suffixes[j]):
                     found[k][w] = True
     return found
@@ -208,27 +238,93 @@ def _sort_groups(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """All windows of contexts with two independent hashes."""
+WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("once", "?"), ("known", "?")])
+
+
+def _repeated(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the windows ordered by their two hashes, the number of each one's group of equals)"""
+    ordered = windows[np.lexsort((windows["w2"], windows["w1"]))]
+    new = np.append(True, (ordered["w1"][1:] != ordered["w1"][:-1]) | (ordered["w2"][1:] != ordered["w2"][:-1]))
+    return ordered, np.cumsum(new) - 1
+
+
+def _told(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, first window, windows) of single windows."""
+    windows = windows[np.lexsort((windows["lo"], windows["row"]))]
+    begin = np.flatnonzero(np.append(True, (windows["row"][1:] != windows["row"][:-1]) | (windows["lo"][1:] != windows["lo"][:-1] + 1))) if len(windows) else np.empty(0, np.int64)
+    return windows["row"][begin].astype(np.int64), windows["lo"][begin].astype(np.int32), np.diff(np.append(begin, len(windows))).astype(np.int32)
+
+
+def _settle(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows found to repeat, one representative of each group of equals): a window repeats if it has an equal or is known to."""
+    ordered, group = _repeated(windows)
+    if not len(ordered):
+        return ordered, ordered
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    repeats = (np.diff(np.append(first, len(ordered))) > 1) | np.logical_or.reduceat(ordered["known"], first)
+    reps = ordered[first].copy()
+    reps["known"] = repeats
+    return ordered[repeats[group] & ordered["once"]], reps
+
+
+def _deal(length: int):
+    """Windows of contexts of anchors that have very many. Equal windows of a batch are settled at once; one
+    representative of each goes on, packed by anchor and by a part of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                contexts = part.column("_bytes").to_pylist()
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                contexts, parts = part.column("_bytes").to_pylist(), part.column("_parts").to_numpy()
                 data = np.frombuffer(b"".join(contexts), np.uint8)
                 counts = np.array([len(x) - length + 1 for x in contexts])
                 starts = np.cumsum([0, *map(len, contexts)])[:-1]
                 owner = np.repeat(np.arange(len(contexts)), counts)
                 within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 first = starts[owner] + within
-                one, two = (Prefixes(data, base).of(first, first + length).view(np.int64) for base in BASES)
-                take = lambda name: part.column(name).take(pa.array(owner))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), take("_once"), take("_row"), pa.array(take("_lo").to_numpy() + within.astype(np.int32))], names=["_w1", "_w2", "_once", "_row", "_lo"])
+                windows = np.empty(len(owner), WINDOW)
+                for name, base in zip(("w1", "w2"), BASES, strict=True):
+                    windows[name] = Prefixes(data, base).of(first, first + length).view(np.int64)
+                windows["row"], windows["lo"] = part.column("_row").to_numpy()[owner], part.column("_lo").to_numpy()[owner] + within
+                windows["once"] = np.array(part.column("_once").to_pylist(), bool)[owner]
+                windows["known"] = ~windows["once"]
+                anchor = part.column("_h").to_numpy()[owner]
+                salt = (windows["w1"] % parts[owner]).astype(np.int64)
+                found, packed = [np.empty(0, WINDOW)], []
+                order = np.lexsort((salt, anchor))
+                bounds = np.flatnonzero(np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (salt[order][1:] != salt[order][:-1])))
+                for group in np.split(order, bounds[1:]):
+                    repeated, reps = _settle(windows[group])
+                    found.append(repeated)
+                    packed.append((int(anchor[group[0]]), int(salt[group[0]]), reps.tobytes()))
+                row, lo, many = _told(np.concatenate(found))
+                n, m = len(packed), len(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in packed] + [None] * m, pa.int64()), pa.array([x[1] for x in packed] + [None] * m, pa.int64()), pa.array([x[2] for x in packed] + [None] * m, pa.binary()),
+                     pa.array([None] * n + row.tolist(), pa.int64()), pa.array([None] * n + lo.tolist(), pa.int32()), pa.array([None] * n + many.tolist(), pa.int32())],
+                    names=["_h", "_salt", "_windows", "_row", "_lo", "_n"],
+                )
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over packed windows ordered by anchor and part: those that repeat in other batches."""
+    at, held = None, []
+
+    def settled() -> pa.RecordBatch:
+        repeated, _ = _settle(np.concatenate([np.frombuffer(x, WINDOW) for x in held])) if held else (np.empty(0, WINDOW), None)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _told(repeated)], names=["_row", "_lo", "_n"])
+
+    for batch in batches:
+        for h, salt, windows in zip(batch.column("_h").to_pylist(), batch.column("_salt").to_pylist(), batch.column("_windows").to_pylist(), strict=True):
+            if (h, salt) != at:
+                yield settled()
+                at, held = (h, salt), []
+            held.append(windows)
+    yield settled()
+
+
 def _contexts(length: int):
     """Cuts contexts out of compressed texts."""
 
@@ -259,15 +355,17 @@ def covered(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     mixed_runs = candidates.filter("_mixed")
     by_context = stage(mixed_runs.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_row", "_lo", "_n", "_off")).alias("_rep")), "contexts")
     per_anchor = by_context.groupBy("_h").agg(F.count(F.lit(1)).alias("_contexts"))
-    reps = by_context.join(per_anchor, "_h").select("_rep.*", "_h", (F.col("_k") == 1).alias("_once"), (F.col("_contexts") > TASK_CONTEXTS).alias("_large"))
-    per_row = reps.groupBy("_row").agg(F.collect_list(F.struct("_lo", "_n", "_off", "_h", "_once", "_large")).alias("_reps"))  # bounded by the row's own text
+    reps = by_context.select("_rep.*", "_h", (F.col("_k") == 1).alias("_once"))
+    per_row = reps.groupBy("_row").agg(F.collect_list(F.struct("_lo", "_n", "_off", "_h", "_once")).alias("_reps"))  # bounded by the row's own text
     cut = stage(packed_texts(rows, id_col, text_col).select("_row", "_zstd").join(per_row, "_row").mapInArrow(_contexts(length), "_h long, _once boolean, _row long, _lo int, _off smallint, _bytes binary"), "cut")
-    large = stage(per_anchor.filter(F.col("_contexts") > TASK_CONTEXTS).select("_h"), "large")
-    small = cut.join(large, "_h", "left_anti").repartition(shuffle_partitions(rows.sparkSession), "_h").sortWithinPartitions("_h")
+    parts = F.ceil(F.col("_contexts") / PART_CONTEXTS).cast("long")
+    large = stage(per_anchor.filter(F.col("_contexts") > TASK_CONTEXTS).select("_h", parts.alias("_parts")), "large")
+    tasks = shuffle_partitions(rows.sparkSession)
+    small = cut.join(large, "_h", "left_anti").repartition(tasks, "_h").sortWithinPartitions("_h")
     sorted_windows = small.mapInArrow(_sort_groups(length), "_row long, _lo int, _n int")
-    windows = stage(cut.join(large, "_h", "left_semi").mapInArrow(_window_hashes(length), "_w1 long, _w2 long, _once boolean, _row long, _lo int"), "windows")
-    equal = windows.groupBy("_w1", "_w2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("_w1", "_w2")
-    dealt_windows = windows.filter("_once").join(stage(equal, "equal"), ["_w1", "_w2"], "left_semi").select("_row", "_lo", F.lit(1).alias("_n"))
+    dealt = stage(cut.join(large, "_h").mapInArrow(_deal(length), "_h long, _salt long, _windows binary, _row long, _lo int, _n int"), "dealt")
+    met = dealt.filter("_windows IS NOT NULL").select("_h", "_salt", "_windows").repartition(tasks, "_h", "_salt").sortWithinPartitions("_h", "_salt")
+    dealt_windows = dealt.filter("_row IS NOT NULL").select("_row", "_lo", "_n").unionAll(met.mapInArrow(_meet, "_row long, _lo int, _n int"))
     same = candidates.filter("NOT _mixed").select("_row", "_lo", F.col("_n").cast("int").alias("_n"))
     many = mixed_runs.join(by_context.filter("_k > 1").select("_h", "_c"), ["_h", "_c"], "left_semi").select("_row", "_lo", F.col("_n").cast("int").alias("_n"))
     spans = same.unionAll(many).unionAll(sorted_windows).unionAll(dealt_windows)
