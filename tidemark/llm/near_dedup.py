@@ -5,10 +5,10 @@
    back into text order; the sequence is the band's key. Texts close in edit distance share keys: with a similarity s
    a band agrees with probability of about s^SKETCH, so that 0.8 is missed with 0.0007.
 2. Equal word sequences are folded first; only one representative of each goes on, so copies cost nothing.
-3. Within a bucket of one key every member is compared with the bucket's leaders (the least id, the least of a hash that
-   differs by band, and in a second round the member with most links so far), never all with all: candidates grow with
-   memberships. Leaders change from band to band, so members of one cluster are linked through many of them, and a
-   text to which many others are close becomes a leader in the second round.
+3. Within a bucket of one key every member is compared with the bucket's leaders, never all with all, so candidates
+   grow with memberships. Leaders are the text with most copies and then the least id, from which others most often
+   derive, and the least of a hash that differs by band; in a second round the member with most links so far and, for
+   members without any link, two more drawn by hash in every bucket.
 4. A candidate pair is verified by aligning the two k-mer sequences: with m aligned k-mers of a and b in all the
    similarity is m / (a + b - m), which is the Jaccard similarity where order is kept. The alignment is the longest
    common subsequence, found bit-parallel in the band outside which no alignment reaches the threshold.
@@ -218,16 +218,18 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = stage(texts.mapInArrow(_sketches(k, bands, sketch), f"_row long, _id {kind}, _k1 long, _k2 long, _n int, _bands array<long>"), "sketches")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("r"))
     folded = stage(sketches.groupBy("_k1", "_k2", "_n").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies")), "folded")
-    reps = folded.select(F.col("_first.r").alias("_row"))
-    keys = sketches.join(reps, "_row", "left_semi").select("_row", "_n", F.explode("_bands").alias("_key"))
+    reps = folded.select(F.col("_first.r").alias("_row"), "_copies")
+    keys = sketches.select("_row", "_id", "_n", "_bands").join(reps, "_row").select("_row", "_id", "_n", "_copies", F.explode("_bands").alias("_key"))
     members = stage(keys, "members")
     spread = lambda row: F.xxhash64(row, F.pmod("_key", F.lit(4)))  # noqa: E731  leaders differ by band
-    leaders = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_row", "_n")).alias("_l1"), F.min(F.struct(spread("_row").alias("h"), "_row", "_n")).alias("_l2")).filter("_k > 1")
+    leaders = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct((-F.col("_copies")).alias("c"), F.col("_id").isNull().alias("u"), "_id", "_row", "_n")).alias("_l1"), F.min(F.struct(spread("_row").alias("h"), "_row", "_n")).alias("_l2")).filter("_k > 1")
     leaders = stage(leaders.select("_key", F.array(F.struct("_l1._row", "_l1._n"), F.struct("_l2._row", "_l2._n")).alias("_leaders")), "leaders")
     bound = F.least("_n", "_ln") >= F.lit(least) * F.greatest("_n", "_ln")  # what sizes alone rule out
 
-    def candidates(of: DataFrame) -> DataFrame:
-        met = members.join(of, "_key").select("_row", "_n", F.array_distinct("_leaders").alias("_leaders"))
+    shared = stage(members.join(leaders.select("_key"), "_key", "left_semi"), "shared-members")
+
+    def candidates(of: DataFrame, among: DataFrame) -> DataFrame:
+        met = among.join(of, "_key").select("_row", "_n", F.array_distinct("_leaders").alias("_leaders"))
         met = met.select("_row", "_n", F.explode("_leaders").alias("_l")).select("_row", "_n", F.col("_l._row").alias("_lr"), F.col("_l._n").alias("_ln"))
         return met.filter((F.col("_row") != F.col("_lr")) & bound).select(*_pairs("_row", "_lr")).distinct()
 
@@ -235,14 +237,19 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = lambda name, value: hashes.select(F.col("_row").alias(name), F.col("_kmers").alias(value))
         return stage(pairs.join(named("_a", "_ka"), "_a").join(named("_b", "_kb"), "_b").mapInArrow(_verify(least), "_a long, _b long, _good boolean"), "verified")
 
-    first = stage(candidates(leaders), "pairs")
-    bucketed = members.join(leaders.select("_key"), "_key", "left_semi").select("_row").distinct()
+    first = stage(candidates(leaders, shared), "pairs")
+    bucketed = shared.select("_row").distinct()
     hashes = stage(packed_texts(rows, id_col, text_col).join(bucketed, "_row", "left_semi").mapInArrow(_unpacked(k), "_row long, _kmers binary"), "kmers")
     tried = verified(first)
     good = tried.filter("_good")
     degrees = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_degree"))
-    hubs = members.join(degrees, "_row").groupBy("_key").agg(F.max(F.struct("_degree", "_row", "_n")).alias("_l")).select("_key", F.array(F.struct("_l._row", "_l._n")).alias("_leaders"))
-    second = stage(candidates(stage(hubs, "hubs")).join(tried.select("_a", "_b"), ["_a", "_b"], "left_anti"), "pairs")
+    degrees = stage(degrees, "degrees")
+    hubs = shared.join(degrees, "_row").groupBy("_key").agg(F.max(F.struct("_degree", "_row", "_n")).alias("_l")).select("_key", F.array(F.struct("_l._row", "_l._n")).alias("_leaders"))
+    loose = shared.join(degrees, "_row", "left_anti")
+    drawn = F.struct(F.xxhash64("_row", "_key").alias("h"), "_row", "_n")
+    others = shared.groupBy("_key").agg(F.min(drawn).alias("_l3"), F.max(drawn).alias("_l4")).select("_key", F.array(F.struct("_l3._row", "_l3._n"), F.struct("_l4._row", "_l4._n")).alias("_leaders"))
+    more = candidates(hubs, shared).unionAll(candidates(others, loose)).distinct()
+    second = stage(more.join(tried.select("_a", "_b"), ["_a", "_b"], "left_anti"), "pairs")
     good = good.unionAll(verified(second).filter("_good")).select("_a", "_b")
     labels = components(good)
     links = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("n_links"))
