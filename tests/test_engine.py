@@ -84,6 +84,7 @@ def test_typed_update_and_delete(people):
     tid = people.scan("people", Predicate("id", "=", 2), hidden=True).first()["_tid"]
     new = people.update("people", tid, (20, "t"))
     assert new != tid and people.scan("people", Predicate("id", "=", 20), hidden=True).first()["_tid"] == new
+    assert people.read_tid("people", tid).count() == 1  # superseded, but there
     people.delete("people", new)
     for call in (lambda: people.delete("people", new), lambda: people.update("people", tid, (1, "x"))):
         with pytest.raises(E.TupleNotFound):

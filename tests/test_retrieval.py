@@ -21,6 +21,18 @@ def test_nearest(spark):
         vector.nearest(df, "e", [0], 1, "hamming")
 
 
+def test_cells(spark):
+    rows = [(k, [math.cos(k / 7), math.sin(k / 7), k % 5 / 5]) for k in range(200)] + [(999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, e array<float>")
+    cells = vector.Cells.fit(df, "e", cells=6)
+    assigned = cells.assign(df, "e")
+    assert assigned.count() == 201 and assigned.filter("cell IS NULL").count() == 0
+    exact = [r.vec_id for r in vector.nearest(df, "e", rows[3][1], 5).collect()]
+    assert [r.vec_id for r in cells.nearest(assigned, "e", rows[3][1], 5, 6).collect()] == exact
+    assert len(set(exact) & {r.vec_id for r in cells.nearest(assigned, "e", rows[3][1], 5, 3).collect()}) >= 4
+    assert vector.Cells.fit(df.limit(0), "e").centroids == ()
+
+
 DOCS = [(1, "a b a c"), (2, "b c"), (3, None), (4, "D a")]
 
 
@@ -44,6 +56,7 @@ def test_fusion(spark):
     fused = {r.id: r.score for r in fusion.reciprocal_ranks([(one, "s", False), (two, "d", True)], "id", 10).collect()}
     assert fused == pytest.approx({1: 1 / 61, 2: 1 / 62 + 1 / 61, 3: 1 / 62})
     assert [r.id for r in fusion.intersect(spark.range(5), [one, two], "id").collect()] == [2]
+    assert fusion.explain([("text", one), ("vector", two)]).count("Physical Plan") == 2
 
 
 def test_graph(spark):

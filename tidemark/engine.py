@@ -446,6 +446,13 @@ class Engine:
         rows = lowering.filtered(self._frame(name, txn, version), where)
         return rows if hidden else rows.select(*lowering.visible(rows))
 
+    def read_tid(self, name: str, tid: int) -> DataFrame:
+        """Every committed version under this row id, visible or not."""
+        table = self._state.named(name)
+        if table is None:
+            raise TableNotFound(name)
+        return store.read(self.spark, table.schema, table.files).filter(F.col(TID) == tid)
+
     def update(self, name: str, tid: int, values: Sequence, txn: Transaction | None = None) -> int:
         """Replaces the row with this id; returns its new id."""
 

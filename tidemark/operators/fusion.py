@@ -40,5 +40,5 @@ def reciprocal_ranks(paths: Sequence[tuple[DataFrame, str, bool]], id_col: str,
 
 
 def explain(paths: Sequence[tuple[str, DataFrame]]) -> str:
-    """The paths of a fused query with Spark's plan of each."""
-    return "\n".join(f"-- {name}\n{path._jdf.queryExecution().explainString(path._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}" for name, path in paths)
+    """The paths of a fused query, each with its plans."""
+    return "\n".join(f"-- {name}\n{path._jdf.queryExecution().toString()}" for name, path in paths)

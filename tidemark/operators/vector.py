@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,40 @@ def nearest(df: DataFrame, vector_col: str, query: Sequence[float], k: int, metr
     rows = df if where is None else df.filter(where)
     measured = rows.withColumn(out, distance.metric(metric)(distance.as_vector(F.col(vector_col)), distance.as_vector(query)))
     return measured.filter(F.col(out).isNotNull()).orderBy(out, id_col).limit(k)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """An inverted-file index: every row belongs to the cell of its nearest centroid, and a search reads the cells nearest
+    to the query. Centroids are fitted on a sample of at most ``sample`` rows; all rows are assigned."""
+
+    centroids: tuple[tuple[float, ...], ...]
+
+    @staticmethod
+    def fit(df: DataFrame, vector_col: str, cells: int = 16, sample: int = 4096, rounds: int = 8, seed: int = 7) -> Cells:
+        order = F.xxhash64(F.col(vector_col).cast("array<double>"))
+        rows = df.filter(F.col(vector_col).isNotNull()).select(vector_col, order.alias("_o")).orderBy("_o").limit(sample).collect()
+        data = np.array([r[0] for r in rows], float)
+        if not len(data):
+            return Cells(())
+        rng = np.random.default_rng(seed)
+        centres = data[rng.choice(len(data), min(cells, len(data)), replace=False)]
+        for _ in range(rounds):
+            nearest_cell = ((data[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([data[nearest_cell == k].mean(0) if (nearest_cell == k).any() else centres[k] for k in range(len(centres))])
+        return Cells(tuple(map(tuple, centres.tolist())))
+
+    def assign(self, df: DataFrame, vector_col: str, out: str = "cell") -> DataFrame:
+        """Adds the cell of each row; write it with ``partitionBy`` on that column, so that searches prune directories."""
+        vector = distance.as_vector(F.col(vector_col))
+        measured = [F.struct(distance.l2(vector, distance.as_vector(c)).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(self.centroids)]
+        return df.withColumn(out, F.array_min(F.array(*measured))["k"] if measured else F.lit(None).cast("int"))
+
+    def probes(self, query: Sequence[float], count: int) -> list[int]:
+        """The cells nearest to a query."""
+        far = ((np.array(self.centroids) - np.array(query, float)) ** 2).sum(1) if self.centroids else np.empty(0)
+        return np.argsort(far, kind="stable")[:count].tolist()
+
+    def nearest(self, assigned: DataFrame, vector_col: str, query: Sequence[float], k: int, count: int = 4, id_col: str = "vec_id", cell_col: str = "cell") -> DataFrame:
+        """The best ``k`` of the ``count`` nearest cells: approximate unless all cells are probed."""
+        return nearest(assigned, vector_col, query, k, id_col=id_col, where=F.col(cell_col).isin(self.probes(query, count)))
