@@ -19,28 +19,34 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup
 
 
-def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _begin(spark: SparkSession) -> None:
+    """The stage before was written: what it had staged can go."""
     common.release()
+    common.small_batches(spark)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return quality.accepted(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()  # the stage before was written: what it had staged can go
+    _begin(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
+    _begin(spark)
     return near_dedup.one_of_each(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
+    _begin(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
+    _begin(spark)
     return packing.pack(docs)
 
 

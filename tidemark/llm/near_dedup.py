@@ -37,7 +37,9 @@ from tidemark.llm.common import documents, packed_texts, sliced, stage, text_of,
 K, SIMILARITY = 5, 0.8
 BANDS, SKETCH = 24, 6
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
+#: Values hashed at a time for one text.
+MATRIX = 1 << 20
 _words: dict[str, int] = {}
 
 
@@ -89,9 +91,10 @@ def _seeds(bands: int) -> np.ndarray:
 def order_sketch(hashes: np.ndarray, bands: int = BANDS, sketch: int = SKETCH) -> np.ndarray:
     """One key for each band: the least labelled k-mers in text order."""
     of = labelled(hashes)
-    values = _mix(of[None, :] ^ _seeds(bands))
     if len(of) > sketch:
-        least = np.sort(np.argpartition(values, sketch - 1, axis=1)[:, :sketch], axis=1)
+        some = max(1, MATRIX // len(of))  # bands at a time, so that long texts need no large matrix
+        parts = [np.argpartition(_mix(of[None, :] ^ _seeds(bands)[b : b + some]), sketch - 1, axis=1)[:, :sketch] for b in range(0, bands, some)]
+        least = np.sort(np.concatenate(parts), axis=1)
     else:
         least = np.broadcast_to(np.arange(len(of)), (bands, len(of)))
     key = np.arange(1, bands + 1, dtype=np.uint64)

@@ -37,7 +37,7 @@ from tidemark.llm.common import documents, sliced, stage, text_of
 WORD_BPE = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
 #: Chunks between white space whose ids a worker remembers; beyond it the memory starts anew.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 120_000
 END_MARK = b"\xff"
 # Fixed value: the word pattern of the tokenizer's file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -41,7 +41,7 @@ TASK_CONTEXTS = 256
 PART_CONTEXTS = 4096
 PLACE_BITS = 28  # of a place in a batch of texts
 #: Windows of a long text that are hashed at a time.
-SEGMENT = 16 << 20
+SEGMENT = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MASK = (1 << 64) - 1
 
@@ -130,7 +130,7 @@ def segmented(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes
 
 def _find_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 1 << 20):
+        for batch in sliced(batches, "_text", 1 << 19):
             source, begin, parts = zip(*segmented(batch.column("_text").cast(pa.binary()).to_pylist(), length), strict=True)
             owner, first, many, off, h, c = runs(list(parts), length)
             first = first + np.array(begin, np.int64)[owner]
