@@ -367,7 +367,9 @@ def covered(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     met = dealt.filter("_windows IS NOT NULL").select("_h", "_salt", "_windows").repartition(tasks, "_h", "_salt").sortWithinPartitions("_h", "_salt")
     dealt_windows = dealt.filter("_row IS NOT NULL").select("_row", "_lo", "_n").unionAll(met.mapInArrow(_meet, "_row long, _lo int, _n int"))
     same = candidates.filter("NOT _mixed").select("_row", "_lo", F.col("_n").cast("int").alias("_n"))
-    many = mixed_runs.join(by_context.filter("_k > 1").select("_h", "_c"), ["_h", "_c"], "left_semi").select("_row", "_lo", F.col("_n").cast("int").alias("_n"))
+    # a join of its own, so that Spark can split the one context that very many rows share
+    many = mixed_runs.join(stage(by_context.filter("_k > 1").select("_h", "_c"), "repeated-contexts"), ["_h", "_c"], "left_semi")
+    many = stage(many.select("_row", "_lo", F.col("_n").cast("int").alias("_n")), "repeated-runs")
     spans = same.unionAll(many).unionAll(sorted_windows).unionAll(dealt_windows)
     span = F.struct(F.col("_lo").alias("start"), (F.col("_lo") + F.col("_n") - 1 + length).alias("end"))
     return spans.groupBy("_row").agg(F.collect_list(span).alias("_spans"))
