@@ -130,3 +130,24 @@ def test_empty(empty):
 @pytest.mark.parametrize("text", ["", "one", "a b c d", "a b c d e"])
 def test_short_texts_have_one_kmer(text):
     assert len(near_dedup.kmers(text)[0]) == (1 if text else 0)
+
+
+def test_no_pair_of_a_shared_bucket_is_left_out(spark):
+    """A dense group whose members are mostly just below the threshold of each other, with partners that never lead."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+
+    def changed(words, many):
+        words = list(words)
+        for k in rng.sample(range(len(words)), many):
+            words[k] = f"x{rng.getrandbits(60)}"
+        return words
+
+    group = [changed(base, 6) for _ in range(60)]
+    texts = group + [changed(w, 6) for w in group]
+    hashes = [near_dedup.kmers(" ".join(w))[0] for w in texts]
+    keys = [set(near_dedup.order_sketch(h, 3).tolist()) for h in hashes]
+    expected = [(a, b) for a in range(len(texts)) for b in range(a) if keys[a] & keys[b] and near_dedup.similarity(hashes[a], hashes[b]) >= 0.8]
+    got = near_dedup.near_classes(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string"), bands=3).collect()
+    of = {r.doc_id: r.class_id for r in got}
+    assert len(expected) > 20 and [(a, b) for a, b in expected if of[a] != of[b]] == []

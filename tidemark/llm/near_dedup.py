@@ -5,14 +5,18 @@
    back into text order; the sequence is the band's key. Texts close in edit distance share keys: with a similarity s
    a band agrees with probability of about s^SKETCH, so that 0.8 is missed with 0.0007.
 2. Equal word sequences are folded first; only one representative of each goes on, so copies cost nothing.
-3. Within a bucket of one key every member is compared with the bucket's leaders, never all with all, so candidates
-   grow with memberships. Leaders are the text with most copies and then the least id, from which others most often
+3. Within a bucket of one key every member is first compared with the bucket's leaders, so that most classes form from
+   few candidates. Leaders are the text with most copies and then the least id, from which others most often
    derive, and the least of a hash that differs by band; in a second round the member with most links so far and, for
-   members without any link, two more drawn by hash in every bucket.
+   members without any link, two more drawn by hash in every bucket. Then the buckets that still hold several classes
+   are settled exactly: of their texts all pairs in different classes meet that an exact prefix filter leaves (rarest
+   k-mers first, with the bound that places in that order set). The most promising pair of each two classes is verified
+   first, then every pair whose classes are still apart.
 4. A candidate pair is verified by aligning the two k-mer sequences: with m aligned k-mers of a and b in all the
    similarity is m / (a + b - m), which is the Jaccard similarity where order is kept. The alignment is the longest
    common subsequence, found bit-parallel in the band outside which no alignment reaches the threshold.
-5. Classes are the connected components of verified pairs, found by repeated joins.
+5. Classes are the connected components of verified pairs, found by repeated joins. Pairs within one class need no
+   further verification, so ``n_links_found`` counts the links that were tried, not all that there are.
 
 Defined cases: a null text is empty; texts without words are copies of each other; texts of fewer than ``K`` words have
 one k-mer, the whole text; the class id is the least id in it, a null id counting as larger than any; rows with equal
@@ -194,6 +198,43 @@ def _verify(least: float):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each k-mer of a text, numbered where it repeats: equal tokens are what alignment could pair."""
+    for batch in batches:
+        for part in sliced([batch], "_kmers", 1 << 20):
+            found = []
+            for x in part.column("_kmers").to_pylist():
+                ordered = np.sort(np.frombuffer(x, np.uint32))
+                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+                nth = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
+                found.append(ordered.astype(np.int64) | nth << 32)
+            lengths = [len(x) for x in found]
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            columns = [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), lengths), t) for c, t in (("_row", pa.int64()), ("_n", pa.int32()), ("_c", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat)], names=["_row", "_n", "_c", "_token"])
+
+
+def unsettled_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """_a, _b, _ca, _cb, _p: every pair of ``texts`` (_row, _n, _c, _kmers) of different classes _c that can reach ``least``.
+
+    With a and b k-mers, m of them aligned, m >= least * max(a, b); so in any one order of all k-mers the first common
+    one of such a pair stands among the first a - least * a of a, and no more than the rest from it on can be aligned.
+    The order is by frequency, and k-mers of one text alone are counted but never joined."""
+    tokens = texts.mapInArrow(_tokens, "_row long, _n int, _c long, _token long")
+    common = stage(tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1"), "common-kmers")
+    ranked = tokens.join(common, "_token").groupBy("_row", "_n", "_c").agg(F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_s"))
+    ranked = ranked.select("_row", "_n", "_c", F.size("_s").alias("_m"), F.posexplode("_s").alias("_at", "_t"))
+    placed = ranked.select("_row", "_n", "_c", F.col("_t._token").alias("_token"), (F.col("_n") - F.col("_m") + F.col("_at")).alias("_p"))
+    heads = stage(placed.filter(F.col("_p") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-6)).withColumn("_left", F.col("_n") - F.col("_p")), "prefixes")
+    # classes meet before texts do, so that the texts of one class never meet each other
+    blocks = heads.groupBy("_token", "_c").agg(F.max("_left").alias("_left"), F.min("_n").alias("_n"))
+    named = lambda df, x: df.select("_token", *[F.col(c).alias(c + x) for c in df.columns if c != "_token"])
+    fits = F.least("_lefta", "_leftb") >= F.lit(least / (1 + least)) * (F.col("_na") + F.col("_nb")) - 1e-6
+    met = stage(named(blocks, "a").join(named(blocks, "b"), "_token").filter((F.col("_ca") < F.col("_cb")) & fits).select("_token", "_ca", "_cb"), "class-blocks")
+    found = met.join(named(heads, "a"), ["_token", "_ca"]).join(named(heads, "b"), ["_token", "_cb"]).filter(fits)
+    return found.groupBy(F.col("_rowa").alias("_a"), F.col("_rowb").alias("_b"), "_ca", "_cb").agg(F.min(F.col("_pa") + F.col("_pb")).alias("_p"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """_row, _component: for every row in ``edges`` (_a, _b) the least row that it is linked to, by label passing and
     pointer jumping over joins; a few rounds even for long chains."""
@@ -213,8 +254,12 @@ def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b")]
 
 
+def _oriented(x: str, y: str):
+    return F.struct(*_pairs(x, y)).alias("_o")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, least: float = SIMILARITY, bands: int = BANDS, sketch: int = SKETCH, row_col: str | None = None) -> DataFrame:
-    """One row per input row: _row, doc_id, class_id, class_size, n_links (verified links of its text), kept (one row of each class)."""
+    """One row per input row: _row, doc_id, class_id, class_size, n_links_found (links of its text that were tried and verified), kept (one row of each class)."""
     rows = df.withColumn("_row", F.col(row_col)) if row_col else with_row(df)
     kind = df.schema[id_col].dataType.simpleString()
     texts = rows.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
@@ -255,13 +300,32 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     second = stage(more.join(tried.select("_a", "_b"), ["_a", "_b"], "left_anti"), "pairs")
     good = good.unionAll(verified(second).filter("_good")).select("_a", "_b")
     labels = components(good)
-    links = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("n_links"))
+
+    classed = stage(shared.join(labels, "_row", "left").select("_key", "_row", "_n", F.coalesce("_component", "_row").alias("_c")), "classed-members")
+    split = classed.groupBy("_key").agg(F.min("_c").alias("_c0"), F.max("_c").alias("_c1")).filter("_c0 != _c1").select("_key")
+    unsettled = stage(classed.join(split, "_key", "left_semi").select("_row", "_n", "_c").distinct(), "unsettled")
+    rest = stage(unsettled_pairs(unsettled.join(hashes, "_row"), least), "unsettled-pairs")
+
+    best = rest.groupBy("_ca", "_cb").agg(F.min(F.struct("_p", "_a", "_b")).alias("_m")).select(_oriented("_m._a", "_m._b")).select("_o.*")
+    best = stage(best.join(tried.select("_a", "_b").unionAll(second.select("_a", "_b")), ["_a", "_b"], "left_anti"), "best-pairs")
+    good = good.unionAll(verified(best).filter("_good").select("_a", "_b"))
+    labels = components(good)
+    now = lambda name, value: labels.select(F.col("_row").alias(name), F.col("_component").alias(value))
+    apart = rest.select(_oriented("_a", "_b")).select("_o.*").join(now("_a", "_x"), "_a", "left").join(now("_b", "_y"), "_b", "left")
+    apart = apart.filter(F.coalesce("_x", "_a") != F.coalesce("_y", "_b")).select("_a", "_b")
+    for done in (tried, second, best):
+        apart = apart.join(done.select("_a", "_b"), ["_a", "_b"], "left_anti")
+    last = verified(stage(apart, "last-pairs")).filter("_good").select("_a", "_b")
+    if last.limit(1).count():
+        good = good.unionAll(last)
+        labels = components(good)
+    links = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("n_links_found"))
     of_text = folded.withColumn("_row", F.col("_first.r")).join(labels, "_row", "left").join(links, "_row", "left")
-    of_text = stage(of_text.select("_k1", "_k2", "_n", "_first", "_copies", F.coalesce("_component", "_row").alias("_component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    of_text = stage(of_text.select("_k1", "_k2", "_n", "_first", "_copies", F.coalesce("_component", "_row").alias("_component"), F.coalesce("n_links_found", F.lit(0)).alias("n_links_found")), "classes")
     classes = stage(of_text.groupBy("_component").agg(F.min("_first").alias("_keep"), F.sum("_copies").alias("class_size")), "class-sizes")
-    by_text = stage(of_text.join(classes, "_component").select("_k1", "_k2", "_n", "_keep", "class_size", "n_links"), "by-text")
+    by_text = stage(of_text.join(classes, "_component").select("_k1", "_k2", "_n", "_keep", "class_size", "n_links_found"), "by-text")
     out = sketches.select("_row", "_id", "_k1", "_k2", "_n").join(by_text, ["_k1", "_k2", "_n"])
-    return out.select("_row", F.col("_id").alias("doc_id"), F.col("_keep.id").alias("class_id"), "class_size", "n_links", (F.col("_row") == F.col("_keep.r")).alias("kept"))
+    return out.select("_row", F.col("_id").alias("doc_id"), F.col("_keep.id").alias("class_id"), "class_size", "n_links_found", (F.col("_row") == F.col("_keep.r")).alias("kept"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
