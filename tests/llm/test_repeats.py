@@ -127,3 +127,17 @@ def test_lines_cut_out_of_texts(spark):
 
 def test_empty(empty):
     assert suffix_dedup.cut_repeats(empty).collect() == [] and line_dedup.line_decisions(empty).collect() == []
+
+
+def test_budget_grows_with_the_line(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcé") for _ in range(n)) for n in (5, 8, 12, 31, 32, 34, 63, 65, 100, 127, 130)]
+    lines = [mutated(rng, b, k) for b in base for k in (0, 1, 2, 3, 4, 5)]
+    distinct = sorted(set(lines))
+    got = line_dedup.line_decisions(spark.createDataFrame([(k, x) for k, x in enumerate(distinct)], "doc_id long, text string").coalesce(1), budgets=line_dedup.GRADED).collect()
+
+    def budget(a, b):
+        return max([e for least, e in line_dedup.GRADED if min(len(a), len(b)) >= least], default=0)
+
+    expected = {k: sum(a != b and distance(a, b) <= budget(a, b) for b in distinct) for k, a in enumerate(distinct)}
+    assert {r.doc_id: r.n_links for r in got} == expected and sum(expected.values()) > 30

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, stage, text_of, with_row
 
 EDITS, SHORTEST = 1, 16
+#: (least length, edits): the budget of a pair is that of its shorter line; below the first length only equal lines match.
+GRADED = ((8, 1), (32, 2), (64, 3), (128, 4))
 
 
 def _segment(line: Column, start: Column, size: Column, length: Column, number: int) -> Column:
@@ -47,18 +49,49 @@ def segment_keys(line: Column, edits: int) -> list[Column]:
 
 def probe_keys(line: Column, edits: int) -> list[Column]:
     """Keys under which lines of the same length or up to ``edits`` shorter may lie; none that is a segment's own key."""
-    length, keys = F.char_length(line), []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        cuts = _cuts(other, edits)
-        for k in range(edits + 1):
-            low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
-            for shift in range(low, high + 1):
-                if shorter or shift:
-                    keys.append(_segment(line, cuts[k] + shift, cuts[k + 1] - cuts[k], other, k))
+    return [key for shorter in range(edits + 1) for key in _probes_of(line, edits, shorter)]
+
+
+def _probes_of(line: Column, edits: int, shorter: int) -> list[Column]:
+    other, keys = F.char_length(line) - shorter, []
+    cuts = _cuts(other, edits)
+    for k in range(edits + 1):
+        low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
+        for shift in range(low, high + 1):
+            if shorter or shift:
+                keys.append(_segment(line, cuts[k] + shift, cuts[k + 1] - cuts[k], other, k))
     return keys
 
 
+Budgets = tuple[tuple[int, int], ...]
+
+
+def _within_step(length: Column, budgets: Budgets, k: int) -> Column:
+    return (length >= budgets[k][0]) & (length < budgets[k + 1][0]) if k + 1 < len(budgets) else length >= budgets[k][0]
+
+
+def graded_own(line: Column, budgets: Budgets) -> Column:
+    """Keys of the line's own segments, as many as the budget of its length asks for."""
+    steps = [F.when(_within_step(F.char_length(line), budgets, k), F.array(*segment_keys(line, edits))) for k, (_, edits) in enumerate(budgets)]
+    return F.coalesce(*steps)
+
+
+def graded_probe(line: Column, budgets: Budgets) -> Column:
+    """Keys under which lines of the same length or shorter may lie: the shorter line's budget says how it was cut."""
+    parts = []
+    for k, (_, edits) in enumerate(budgets):
+        for shorter in range(edits + 1):
+            keys = F.array(*_probes_of(line, edits, shorter))
+            parts.append(F.when(_within_step(F.char_length(line) - shorter, budgets, k), keys).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*parts)
+
+
+def within_budget(a: Column, b: Column, budgets: Budgets) -> Column:
+    """Whether two strings are within the edits that the shorter one's length allows."""
+    least = F.least(F.char_length(a), F.char_length(b))
+    return F.coalesce(*[F.when(_within_step(least, budgets, k), within_edits(a, b, edits)) for k, (_, edits) in enumerate(budgets)], F.lit(False))
+
+
 def _common_prefix(a: Column, b: Column, most: Column) -> Column:
     """Length of the common prefix, by binary search over powers of two (lines up to 2^20 characters; longer prefixes count as that)."""
 
@@ -136,16 +169,19 @@ def _at(word: Column, k: Column) -> Column:
     return F.expr("0L") if k is None else word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(k, F.lit(62))))
 
 
-def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST, row_col: str | None = None) -> DataFrame:
-    """One row per input row: _row, doc_id, n_lines, n_removed, n_near (lines that have a near-equal line), n_links (those links), dropped (line numbers)."""
+def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST, row_col: str | None = None, budgets: Budgets | None = None) -> DataFrame:
+    """One row per input row: _row, doc_id, n_lines, n_removed, n_near (lines that have a near-equal line), n_links (those links), dropped (line numbers).
+
+    ``budgets`` lets the edits grow with the lines' length instead of ``edits`` and ``shortest``."""
+    budgets = budgets or ((max(shortest, edits + 1), edits),)
     rows = df.withColumn("_row", F.col(row_col)) if row_col else with_row(df)
     rows = rows.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     lines = rows.select("_row", "_id", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     line = F.col("_line")
-    long_enough = (F.char_length(line) >= max(shortest, edits + 1)) & (F.trim(line) != "")
+    long_enough = (F.char_length(line) >= budgets[0][0]) & (F.trim(line) != "")
     keyed = lines.select(
         "_row", "_id", "_pos", F.xxhash64(line).alias("_k1"), F.xxhash64(F.lit(7), line).alias("_k2"), F.when(F.length(F.regexp_replace(line, r"\s", "")) > 0, False).otherwise(True).alias("_blank"),
-        F.when(long_enough, F.array(*segment_keys(line, edits))).alias("_own"), F.when(long_enough, F.array(*probe_keys(line, edits))).alias("_probe"),
+        F.when(long_enough, graded_own(line, budgets)).alias("_own"), F.when(long_enough, graded_probe(line, budgets)).alias("_probe"),
     )
     keyed = stage(keyed, "lines")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("r"), F.col("_pos").alias("p"))
@@ -167,7 +203,7 @@ def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select("_row", "_text").join(needed, "_row", "left_semi").join(wanted, "_row").select("_x", F.element_at(F.split("_text", "\n"), F.col("_x._pos") + 1).alias("_line"))
     texts = stage(texts, "line-texts")
     named = lambda key, value: texts.select(F.col("_x").alias(key), F.col("_line").alias(value))
-    checked = pairs.join(named("_x", "_a"), "_x").join(named("_y", "_b"), "_y").filter(within_edits(F.col("_a"), F.col("_b"), edits)).select("_x", "_y")
+    checked = pairs.join(named("_x", "_a"), "_x").join(named("_y", "_b"), "_y").filter(within_budget(F.col("_a"), F.col("_b"), budgets)).select("_x", "_y")
     links = stage(checked, "line-links")
     sides = links.unionAll(links.select(F.col("_y").alias("_x"), F.col("_x").alias("_y")))
     first_of = distinct.select(F.struct(F.col("_first.r").alias("_row"), F.col("_first.p").alias("_pos")).alias("_y"), F.col("_first").alias("_other"))
@@ -197,6 +233,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.array_join("dropped", ",").alias("dropped"))
 
 
+def op6_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, with a budget of edits that grows with the line."""
+    out = line_decisions(documents(spark, sf_dir), budgets=GRADED)
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.array_join("dropped", ",").alias("dropped"))
+
+
 OP6_SQL = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
-from tidemark.llm.line_dedup import OP6_SQL, op6_line_dedup
+from tidemark.llm.line_dedup import OP6_SQL, op6_line_dedup, op6_near_lines
 from tidemark.llm.media import op9_media
 from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.packing import op5_packing
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
         "op6_line_dedup": op6_line_dedup,
+        "op6_near_lines": op6_near_lines,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality": op8_quality,
         "op9_media": op9_media,
