@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tidemark.engine import Engine
 from tidemark.errors import InvalidArgument
 from tidemark.functions import text
 from tidemark.operators import fulltext, fusion, graph, lifecycle, timeseries, vector
+from tidemark.plans import catalogue
 from tidemark.sources.external import read_files, write_files
 from tidemark.streaming.maintenance import IndexFollower, downsample_stream
 
@@ -116,3 +118,22 @@ def test_pushdown(spark):
     plan = catalogue.QUERIES["q13_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,100)]" in plan and "TakeOrderedAndProject" in plan
     assert "o_orderdate" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_neighbours_of_each_stated_query(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)], 0) for k in range(1500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["q51_vec_cells_neighbours"](spark, str(tmp_path)).collect()
+    total = 0
+    for q in range(0, 1500, 100):
+        exact = [i for _, i in sorted((math.dist(rows[q][1], v), i) for i, v, _ in rows)[:10]]
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 10 and all(r.distance == pytest.approx(math.dist(rows[q][1], rows[r.vec_id][1])) for r in mine)
+        hits = len({r.vec_id for r in mine} & set(exact))
+        assert {r.recall for r in mine} == {hits / 10}
+        total += hits
+    assert total >= 9 * 15 and len(got) == 150
+    source = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    some = vector.nearest_of_each(source, "embedding", source.filter("vec_id < 7"), 3, block=3).collect()  # several blocks
+    assert {(r.query_id, r.vec_id) for r in some} == {(q, i) for q in range(7) for _, i in sorted((math.dist(rows[q][1], v), i) for i, v, _ in rows)[:3]}
