@@ -137,3 +137,13 @@ def test_neighbours_of_each_stated_query(spark, tmp_path):
     source = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
     some = vector.nearest_of_each(source, "embedding", source.filter("vec_id < 7"), 3, block=3).collect()  # several blocks
     assert {(r.query_id, r.vec_id) for r in some} == {(q, i) for q in range(7) for _, i in sorted((math.dist(rows[q][1], v), i) for i, v, _ in rows)[:3]}
+
+
+def test_hard_filter_comes_before_the_nearest(spark, tmp_path):
+    first, more = 1 << 20, 30  # rows that are allowed lie behind more than a million that are not
+    allowed = (F.col("id") == 0) | (F.col("id") > first)
+    rows = spark.range(first + more + 1)
+    vectors = rows.select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.when(allowed, 1).otherwise(9).alias("label"))
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows.filter(allowed).select(F.col("id").alias("doc_id"), F.lit("nothing").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in catalogue.QUERIES["q40_hybrid"](spark, str(tmp_path)).collect()] == [0, *range(first + 1, first + 20)]

@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 from tidemark.functions import distance
 
 
-def nearest(df: DataFrame, vector_col: str, query: Sequence[float], k: int, metric: str = "l2", id_col: str = "vec_id", where: Column | None = None, out: str = "distance") -> DataFrame:
-    """The ``k`` rows closest to the query with their distance, ties by id. ``where`` filters before ranking."""
+def nearest(df: DataFrame, vector_col: str, query: Sequence[float], k: int | None, metric: str = "l2", id_col: str = "vec_id", where: Column | None = None, out: str = "distance") -> DataFrame:
+    """The ``k`` rows closest to the query with their distance, ties by id; all rows in no order if ``k`` is None. ``where`` filters before ranking."""
     rows = df if where is None else df.filter(where)
     measured = rows.withColumn(out, distance.metric(metric)(distance.as_vector(F.col(vector_col)), distance.as_vector(query)))
-    return measured.filter(F.col(out).isNotNull()).orderBy(out, id_col).limit(k)
+    measured = measured.filter(F.col(out).isNotNull())
+    return measured if k is None else measured.orderBy(out, id_col).limit(k)
 
 
 def _nearest_in_batches(ids: np.ndarray, queries: np.ndarray, k: int, probed: np.ndarray | None):

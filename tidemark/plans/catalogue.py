@@ -366,9 +366,10 @@ SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM b UNIO
 def _rrf(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     texts = fulltext.bm25(docs, "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
-    vectors = vector.nearest(_table(spark, sf_dir, "embeddings"), "embedding", _probe(spark, sf_dir), 1 << 20, "l2").select(F.col("vec_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
+    rows = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     if allowed is not None:  # the hard filter comes before ranking
-        texts, vectors = (x.join(allowed, "doc_id", "left_semi") for x in (texts, vectors))
+        texts, rows = (x.join(allowed, "doc_id", "left_semi") for x in (texts, rows))
+    vectors = vector.nearest(rows, "embedding", _probe(spark, sf_dir), None, "l2").select("doc_id", F.round("distance", 6).alias("distance"))
     paths = [(texts.orderBy(F.desc("score"), "doc_id").limit(50), "score", False), (vectors.orderBy("distance", "doc_id").limit(50), "distance", True)]
     fused = fusion.reciprocal_ranks(paths, "doc_id", 1 << 20)
     return fused.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
