@@ -141,3 +141,9 @@ def test_budget_grows_with_the_line(spark):
 
     expected = {k: sum(a != b and distance(a, b) <= budget(a, b) for b in distinct) for k, a in enumerate(distinct)}
     assert {r.doc_id: r.n_links for r in got} == expected and sum(expected.values()) > 30
+
+
+def test_edits_far_from_an_end(spark):
+    long = F.repeat(F.lit("abcdefgh"), 300_000)  # 2.4 million characters before the edit
+    row = spark.range(1).select(line_dedup.within_edits(F.concat(long, F.lit("xyz")), F.concat(long, F.lit("xwz")), 1).alias("one"), line_dedup.within_edits(F.concat(long, F.lit("xyz")), F.concat(long, F.lit("wvz")), 1).alias("two")).first()
+    assert (row.one, row.two) == (True, False)

@@ -93,13 +93,13 @@ def within_budget(a: Column, b: Column, budgets: Budgets) -> Column:
 
 
 def _common_prefix(a: Column, b: Column, most: Column) -> Column:
-    """Length of the common prefix, by binary search over powers of two (lines up to 2^20 characters; longer prefixes count as that)."""
+    """Length of the common prefix, by binary search over powers of two, for strings of any length that Spark holds."""
 
     def step(found: Column, power: Column) -> Column:
         longer = found + power
         return F.when((longer <= most) & (F.substring(a, F.lit(1), longer) == F.substring(b, F.lit(1), longer)), longer).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), step)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
