@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_staged: list[tuple[SparkSession, str]] = []
+#: (session, path, owner) of every staged table that is still there.
+_staged: list[tuple[SparkSession, str, str | None]] = []
+_owner: list[str | None] = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,32 +30,51 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
     delete_on_exit(spark, path)
-    _staged.append((spark, path))
+    _staged.append((spark, path, _owner[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that a broadcast table may have: some 32 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def looked_up(staged: DataFrame) -> DataFrame:
+    """A staged table to join with: broadcast if its counted rows are few enough, dealt out by key if not."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
 
 
-def release(keep: int = 0) -> None:
-    """Delete staged tables, but for the newest ``keep``; results that still read them must have been written before."""
-    while len(_staged) > keep:
-        spark, path = _staged.pop(0)
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is staged inside belongs to ``owner``."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(owner: str | None = None, path: str | None = None) -> None:
+    """Delete the staged tables of ``owner``, or the one at ``path``; results that still read them must have been written before."""
+    for entry in [x for x in _staged if (x[1] == path if path else x[2] == owner)]:
+        spark, at, _ = entry
+        _staged.remove(entry)
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def staged_count() -> int:
-    return len(_staged)
+def staged_count(owner: str | None = None) -> int:
+    return sum(x[2] == owner for x in _staged)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -72,14 +94,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_of(column: str) -> Column:
     """The text, null counting as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a row number that is the same each time this scan runs: ids may be null or repeated, rows never are."""
+    """Adds a number to every row. The numbers follow the layout of this very scan, which a lost executor or another
+    count of cores may change: stage the result, and read rows and numbers from there alone."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def packed_rows(df: DataFrame, id_col: str, text_col: str, name: str, row_col: str | None = None) -> DataFrame:
+    """_row, _id, _n_bytes and the compressed text, staged: rows are numbered and texts read from the input once."""
+    rows = df.withColumn("_row", F.col(f"`{row_col}`")) if row_col else with_row(df)
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = rows.select("_row", F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
+    return stage(rows.mapInArrow(_pack, f"_row long, _id {kind}, _n_bytes long, _zstd binary"), name, "none")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches whose texts, unpacked, hold about ``most_bytes``, or of one row, with those texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        start = held = 0
+        for k, n in enumerate([*batch.column("_n_bytes").to_pylist(), None]):
+            if n is None or held and held + n > most_bytes:
+                if k > start:
+                    part = batch.slice(start, k - start)
+                    yield part, [unpack.decompress(x) for x in part.column("_zstd").to_pylist()]
+                start, held = k, 0
+            held += n or 0
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that ``column`` holds about ``most_bytes`` at most, or one row."""
     for batch in batches:
@@ -98,10 +151,6 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(1)
     for batch in sliced(batches, "_text"):
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array([pack.compress(x) for x in batch.column("_text").cast(pa.binary()).to_pylist()], pa.binary())], names=["_row", "_id", "_zstd"])
-
-
-def packed_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_row, _id and the compressed text: what texts cost in a shuffle."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).mapInArrow(_pack, f"_row long, _id {kind}, _zstd binary")
+        texts = batch.column("_text").cast(pa.binary()).to_pylist()
+        sizes = pa.array(list(map(len, texts)), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), sizes, pa.array([pack.compress(x) for x in texts], pa.binary())], names=["_row", "_id", "_n_bytes", "_zstd"])

@@ -32,11 +32,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, packed_texts, sliced, stage, text_of, with_row
+from tidemark.llm.common import documents, free_name, packed_rows, sliced, stage, unpacked, with_row
 
 K, SIMILARITY = 5, 0.8
 BANDS, SKETCH = 24, 6
@@ -109,10 +108,10 @@ def order_sketch(hashes: np.ndarray, bands: int = BANDS, sketch: int = SKETCH) -
 
 def _sketches(k: int, bands: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 4 << 20):
+        for batch, texts in unpacked(batches, 2 << 20):
             whole, second, count, keys = [], [], [], []
-            for text in batch.column("_text").to_pylist():
-                hashes, one = kmers(text, k)
+            for text in texts:
+                hashes, one = kmers(text.decode(), k)
                 whole.append(one)
                 second.append(int(_mix(np.bitwise_xor.reduce(_mix(hashes + np.arange(len(hashes), dtype=np.uint64)))[None])[0]) if len(hashes) else 0)
                 count.append(len(hashes))
@@ -173,15 +172,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return m / (total - m)
 
 
-def _unpacked(k: int):
+def _kmers_of(k: int):
     """k-mer hashes of compressed texts, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part in sliced([batch], "_zstd", 2 << 20):
-                found = [kmers(unpack.decompress(x).decode(), k)[0].astype(np.uint32).tobytes() for x in part.column("_zstd").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, pa.binary())], names=["_row", "_kmers"])
+        for part, texts in unpacked(batches, 2 << 20):
+            found = [kmers(x.decode(), k)[0].astype(np.uint32).tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, pa.binary())], names=["_row", "_kmers"])
 
     return run
 
@@ -230,8 +227,12 @@ def unsettled_pairs(texts: DataFrame, least: float) -> DataFrame:
     blocks = heads.groupBy("_token", "_c").agg(F.max("_left").alias("_left"), F.min("_n").alias("_n"))
     named = lambda df, x: df.select("_token", *[F.col(c).alias(c + x) for c in df.columns if c != "_token"])
     fits = F.least("_lefta", "_leftb") >= F.lit(least / (1 + least)) * (F.col("_na") + F.col("_nb")) - 1e-6
-    met = stage(named(blocks, "a").join(named(blocks, "b"), "_token").filter((F.col("_ca") < F.col("_cb")) & fits).select("_token", "_ca", "_cb"), "class-blocks")
-    found = met.join(named(heads, "a"), ["_token", "_ca"]).join(named(heads, "b"), ["_token", "_cb"]).filter(fits)
+    bounds = [F.col(c).alias(c + "m") for c in ("_lefta", "_na", "_leftb", "_nb")]
+    met = stage(named(blocks, "a").join(named(blocks, "b"), "_token").filter((F.col("_ca") < F.col("_cb")) & fits).select("_token", "_ca", "_cb", *bounds), "class-blocks")
+    # of a class only the texts that could fit the best of the other class go on
+    could = lambda x, y: F.least("_left" + x, f"_left{y}m") >= F.lit(least / (1 + least)) * (F.col("_n" + x) + F.col(f"_n{y}m")) - 1e-6
+    one = met.join(named(heads, "a"), ["_token", "_ca"]).filter(could("a", "b"))
+    found = one.join(named(heads, "b"), ["_token", "_cb"]).filter(fits)
     return found.groupBy(F.col("_rowa").alias("_a"), F.col("_rowb").alias("_b"), "_ca", "_cb").agg(F.min(F.col("_pa") + F.col("_pb")).alias("_p"))
 
 
@@ -250,6 +251,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("_a").alias("_row"), F.col("_c").alias("_component"))
 
 
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after further links: only the links between classes are passed along, with each class as one row."""
+    named = lambda x, y: labels.select(F.col("_row").alias(x), F.col("_component").alias(y))
+    between = edges.join(named("_a", "_x"), "_a", "left").join(named("_b", "_y"), "_b", "left")
+    between = between.select(F.coalesce("_x", "_a").alias("_a"), F.coalesce("_y", "_b").alias("_b")).filter("_a != _b")
+    found = components(stage(between, "class-links"))
+    up = labels.join(found.select(F.col("_row").alias("_component"), F.col("_component").alias("_up")), "_component", "left")
+    new = found.join(labels.select("_row"), "_row", "left_anti").select("_row", "_component")
+    return stage(up.select("_row", F.coalesce("_up", "_component").alias("_component")).unionAll(new), "labels")
+
+
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b")]
 
@@ -260,21 +272,21 @@ def _oriented(x: str, y: str):
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, least: float = SIMILARITY, bands: int = BANDS, sketch: int = SKETCH, row_col: str | None = None) -> DataFrame:
     """One row per input row: _row, doc_id, class_id, class_size, n_links_found (links of its text that were tried and verified), kept (one row of each class)."""
-    rows = df.withColumn("_row", F.col(row_col)) if row_col else with_row(df)
     kind = df.schema[id_col].dataType.simpleString()
-    texts = rows.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    sketches = stage(texts.mapInArrow(_sketches(k, bands, sketch), f"_row long, _id {kind}, _k1 long, _k2 long, _n int, _bands array<long>"), "sketches")
+    packed = packed_rows(df, id_col, text_col, "near-texts", row_col)
+    # joins of what grows with the corpus are dealt out by key at every size, so that small inputs show what large ones take
+    sketches = stage(packed.mapInArrow(_sketches(k, bands, sketch), f"_row long, _id {kind}, _k1 long, _k2 long, _n int, _bands array<long>"), "sketches")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("r"))
     folded = stage(sketches.groupBy("_k1", "_k2", "_n").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies")), "folded")
     reps = folded.select(F.col("_first.r").alias("_row"), "_copies")
-    keys = sketches.select("_row", "_id", "_n", "_bands").join(reps, "_row").select("_row", "_id", "_n", "_copies", F.explode("_bands").alias("_key"))
+    keys = sketches.select("_row", "_id", "_n", "_bands").join(reps.hint("merge"), "_row").select("_row", "_id", "_n", "_copies", F.explode("_bands").alias("_key"))
     members = stage(keys, "members")
     spread = lambda row: F.xxhash64(row, F.pmod("_key", F.lit(4)))  # noqa: E731  leaders differ by band
     leaders = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct((-F.col("_copies")).alias("c"), F.col("_id").isNull().alias("u"), "_id", "_row", "_n")).alias("_l1"), F.min(F.struct(spread("_row").alias("h"), "_row", "_n")).alias("_l2")).filter("_k > 1")
     leaders = stage(leaders.select("_key", F.array(F.struct("_l1._row", "_l1._n"), F.struct("_l2._row", "_l2._n")).alias("_leaders")), "leaders")
     bound = F.least("_n", "_ln") >= F.lit(least) * F.greatest("_n", "_ln")  # what sizes alone rule out
 
-    shared = stage(members.join(leaders.select("_key"), "_key", "left_semi"), "shared-members")
+    shared = stage(members.join(leaders.select("_key").hint("merge"), "_key", "left_semi"), "shared-members")
 
     def candidates(of: DataFrame, among: DataFrame) -> DataFrame:
         met = among.join(of, "_key").select("_row", "_n", F.array_distinct("_leaders").alias("_leaders"))
@@ -283,11 +295,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = lambda name, value: hashes.select(F.col("_row").alias(name), F.col("_kmers").alias(value))
-        return stage(pairs.join(named("_a", "_ka"), "_a").join(named("_b", "_kb"), "_b").mapInArrow(_verify(least), "_a long, _b long, _good boolean"), "verified")
+        return stage(pairs.hint("merge").join(named("_a", "_ka"), "_a").hint("merge").join(named("_b", "_kb"), "_b").mapInArrow(_verify(least), "_a long, _b long, _good boolean"), "verified")
 
     first = stage(candidates(leaders, shared), "pairs")
     bucketed = shared.select("_row").distinct()
-    hashes = stage(packed_texts(rows, id_col, text_col).join(bucketed, "_row", "left_semi").mapInArrow(_unpacked(k), "_row long, _kmers binary"), "kmers")
+    hashes = stage(packed.join(bucketed.hint("merge"), "_row", "left_semi").mapInArrow(_kmers_of(k), "_row long, _kmers binary"), "kmers")
     tried = verified(first)
     good = tried.filter("_good")
     degrees = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_degree"))
@@ -308,8 +320,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     best = rest.groupBy("_ca", "_cb").agg(F.min(F.struct("_p", "_a", "_b")).alias("_m")).select(_oriented("_m._a", "_m._b")).select("_o.*")
     best = stage(best.join(tried.select("_a", "_b").unionAll(second.select("_a", "_b")), ["_a", "_b"], "left_anti"), "best-pairs")
-    good = good.unionAll(verified(best).filter("_good").select("_a", "_b"))
-    labels = components(good)
+    linked = verified(best).filter("_good").select("_a", "_b")
+    good = good.unionAll(linked)
+    labels = relabelled(labels, linked)
     now = lambda name, value: labels.select(F.col("_row").alias(name), F.col("_component").alias(value))
     apart = rest.select(_oriented("_a", "_b")).select("_o.*").join(now("_a", "_x"), "_a", "left").join(now("_b", "_y"), "_b", "left")
     apart = apart.filter(F.coalesce("_x", "_a") != F.coalesce("_y", "_b")).select("_a", "_b")
@@ -318,21 +331,22 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = verified(stage(apart, "last-pairs")).filter("_good").select("_a", "_b")
     if last.limit(1).count():
         good = good.unionAll(last)
-        labels = components(good)
+        labels = relabelled(labels, last)
     links = good.select(F.explode(F.array("_a", "_b")).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("n_links_found"))
     of_text = folded.withColumn("_row", F.col("_first.r")).join(labels, "_row", "left").join(links, "_row", "left")
     of_text = stage(of_text.select("_k1", "_k2", "_n", "_first", "_copies", F.coalesce("_component", "_row").alias("_component"), F.coalesce("n_links_found", F.lit(0)).alias("n_links_found")), "classes")
     classes = stage(of_text.groupBy("_component").agg(F.min("_first").alias("_keep"), F.sum("_copies").alias("class_size")), "class-sizes")
     by_text = stage(of_text.join(classes, "_component").select("_k1", "_k2", "_n", "_keep", "class_size", "n_links_found"), "by-text")
-    out = sketches.select("_row", "_id", "_k1", "_k2", "_n").join(by_text, ["_k1", "_k2", "_n"])
+    out = sketches.select("_row", "_id", "_k1", "_k2", "_n").join(by_text.hint("merge"), ["_k1", "_k2", "_n"])
     return out.select("_row", F.col("_id").alias("doc_id"), F.col("_keep.id").alias("class_id"), "class_size", "n_links_found", (F.col("_row") == F.col("_keep.r")).alias("kept"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that stay, one of each class, with all their columns."""
-    rows = with_row(df, "_near_row")
-    kept = near_classes(rows, id_col, text_col, row_col="_near_row").filter("kept").select(F.col("_row").alias("_near_row"))
-    return rows.join(kept, "_near_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    row = free_name(df, "_near_row")
+    rows = stage(with_row(df, row), "near-input")
+    kept = near_classes(rows, id_col, text_col, row_col=row).filter("kept").select(F.col("_row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,17 @@ suffixes of a corpus is out of reach, so only suffixes whose first ``length`` by
 1. Prefix polynomial hashes give the hash of any substring at once. Every window of ``length`` bytes chooses an anchor,
    the least hashed substring of ``ANCHOR`` bytes in it; equal windows choose equal anchors at equal places, so an
    anchor that occurs once settles all windows that chose it. Neighbouring windows with one anchor form a run.
-2. Anchors are counted. Runs of repeated anchors whose whole context is equal everywhere are covered at once.
-3. Other runs, one for each distinct context, meet by anchor. Their suffixes are mergesorted; a comparison finds the
+   Runs of equal bytes within one segment are folded where they are.
+2. Anchors are counted. The contexts of runs of repeated anchors are cut out of the texts and digested (BLAKE2, 128
+   bits, which stands for the bytes); runs whose whole context occurs again are covered at once.
+3. Of anchors with several contexts one run for each goes on. Their suffixes are mergesorted; a comparison finds the
    common extension by binary search on the prefix hashes, and extensions of ``length`` bytes or more between
    neighbours are verified byte by byte. Anchors with very many distinct contexts, which would make one task large,
    are dealt out by window hash instead: equal windows of a batch are settled where they are, and one of each goes on
-   to a part of the anchor's windows that grows no larger with the corpus; this exact way takes two independent
-   hashes as its verification.
+   to a part of the anchor's windows that grows no larger with the corpus; this exact way takes two hashes of
+   different families (polynomial and XXH3) as its verification.
+
+Rows are numbered and texts packed once, in the shared folder; every later pass reads those.
 
 Defined cases: a null or empty text has no bytes and loses none; texts shorter than ``length`` lose none; matches never
 cross texts, overlapping matches in one text count; equal texts of ``length`` bytes or more lose everything; rows with
@@ -24,15 +28,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cmp_to_key, lru_cache
+from hashlib import blake2b
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, packed_texts, shuffle_partitions, sliced, stage, text_of, with_row
+from tidemark.llm.common import documents, free_name, packed_rows, shuffle_partitions, sliced, stage, unpacked, with_row
 
 LENGTH, ANCHOR = 200, 48
 #: Distinct contexts of one anchor that one task sorts; anchors with more are dealt out by window hash.
@@ -42,7 +47,7 @@ PART_CONTEXTS = 4096
 PLACE_BITS = 28  # of a place in a batch of texts
 #: Windows of a long text that are hashed at a time.
 SEGMENT = 1 << 20
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
@@ -71,7 +76,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Prefixes:
     """Prefix hashes of a byte array."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         self.power, self.inverse = powers(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=self.sums[1:])
@@ -95,11 +100,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor's distance from the first window, anchor hash, context hash) of all runs."""
+    """(text, first window, windows, anchor's distance from the first window, anchor hash) of all runs."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     if len(data) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     if len(data) >= 1 << PLACE_BITS:
         raise ValueError("a text is longer than the places that runs() can hold")
     hashes = Prefixes(data)
@@ -110,36 +115,84 @@ def runs(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
     if not len(owner):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     counts = np.maximum(sizes - length + 1, 0)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
     at = chosen[window]
     begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))
     many = np.diff(np.append(begin, len(owner)))
     first, at, owner = window[begin], at[begin], owner[begin]
-    context = hashes.of(first, first + many - 1 + length) ^ mixed((many << 20 | (at - first)).astype(np.uint64))
-    return owner, first - starts[owner], many, at - first, anchors[at].view(np.int64), context.view(np.int64)
+    return owner, first - starts[owner], many, at - first, anchors[at].view(np.int64)
 
 
-def segmented(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
-    """(text, first byte, bytes): long texts in segments that overlap by less than one window, so each window is in one."""
+def segmented(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Groups of (texts, first bytes, parts) of about ``SEGMENT`` bytes: long texts in segments that overlap by less than
+    one window, so each window is in one."""
+    source, begin, parts, held = [], [], [], 0
     for k, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), SEGMENT):
-            yield k, at, text[at : at + SEGMENT + length - 1]
+            part = text[at : at + SEGMENT + length - 1]
+            if held and held + len(part) > SEGMENT:
+                yield source, begin, parts
+                source, begin, parts, held = [], [], [], 0
+            source.append(k)
+            begin.append(at)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        yield source, begin, parts
+
+
+def folded(parts: list[bytes], found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run whose context has the same bytes and comes first here, or the run itself; whether its context comes again here)"""
+    owner, first, many, _, h = found
+    leader, again = np.arange(len(h)), np.zeros(len(h), bool)
+    order = np.argsort(h, kind="stable")
+    same = np.append(h[order][1:] == h[order][:-1], False)
+    seen: dict[tuple[int, bytes], int] = {}
+    for k in np.sort(order[same | np.append(False, same[:-1])]).tolist():
+        context = parts[owner[k]][first[k] : first[k] + many[k] - 1 + length]
+        one = seen.setdefault((int(h[k]), context), k)
+        if one != k:
+            leader[k], again[one] = one, True
+    return leader, again
 
 
 def _find_runs(length: int):
+    """Runs, one for each context of a segment; the others of equal bytes are told at once as covered ranges (``_h`` null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 1 << 19):
-            source, begin, parts = zip(*segmented(batch.column("_text").cast(pa.binary()).to_pylist(), length), strict=True)
-            owner, first, many, off, h, c = runs(list(parts), length)
-            first = first + np.array(begin, np.int64)[owner]
-            rows = batch.column("_row").take(pa.array(np.array(source, np.int64)[owner]))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), rows, pa.array(first.astype(np.int32)), pa.array(many.astype(np.int16)), pa.array(off.astype(np.int16))], names=["_h", "_c", "_row", "_lo", "_n", "_off"])
+        for batch, texts in unpacked(batches):
+            for source, begin, parts in segmented(texts, length):
+                found = runs(parts, length)
+                owner, first, many, off, h = found
+                leader, again = folded(parts, found, length)
+                kept = leader == np.arange(len(leader))
+                rows = batch.column("_row").to_numpy()[np.array(source, np.int64)[owner]]
+                first = first + np.array(begin, np.int64)[owner]
+                told = [(r, a, b - a - length + 1) for r, a, b in _ranges(rows[~kept], first[~kept], many[~kept], length)]
+                n = len(told)
+                columns = [
+                    pa.array([None] * n + h[kept].tolist(), pa.int64()), pa.array([x[0] for x in told] + rows[kept].tolist(), pa.int64()), pa.array([x[1] for x in told] + first[kept].tolist(), pa.int32()),
+                    pa.array([x[2] for x in told] + many[kept].tolist(), pa.int32()), pa.array([0] * n + off[kept].tolist(), pa.int16()), pa.array([True] * n + again[kept].tolist(), pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["_h", "_row", "_lo", "_n", "_off", "_again"])
 
     return run
 
 
+def _ranges(rows: np.ndarray, first: np.ndarray, many: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Covered byte ranges (row, start, end) of runs, those that touch in one."""
+    out: list[list[int]] = []
+    for k in np.lexsort((first, rows)).tolist():
+        row, start, end = int(rows[k]), int(first[k]), int(first[k] + many[k] - 1 + length)
+        if out and out[-1][0] == row and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], end)
+        else:
+            out.append([row, start, end])
+    return [(a, b, c) for a, b, c in out]
+
+
 class SuffixOrder:
     """Order of suffixes of some byte strings, compared by hashes."""
 
@@ -283,8 +336,9 @@ def _deal(length: int):
                 within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 first = starts[owner] + within
                 windows = np.empty(len(owner), WINDOW)
-                for name, base in zip(("w1", "w2"), BASES, strict=True):
-                    windows[name] = Prefixes(data, base).of(first, first + length).view(np.int64)
+                windows["w1"] = Prefixes(data).of(first, first + length).view(np.int64)
+                whole, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+                windows["w2"] = np.fromiter((digest(whole[i : i + length]) for i in first.tolist()), np.uint64, len(first)).view(np.int64)
                 windows["row"], windows["lo"] = part.column("_row").to_numpy()[owner], part.column("_lo").to_numpy()[owner] + within
                 windows["once"] = np.array(part.column("_once").to_pylist(), bool)[owner]
                 windows["known"] = ~windows["once"]
@@ -325,52 +379,68 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield settled()
 
 
+def _digested(length: int):
+    """The digest of every listed context of compressed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in unpacked(batches):
+            source, digests, fields = [], [], {n: [] for n in ("_h", "_lo", "_n", "_off", "_again")}
+            for k, (data, found) in enumerate(zip(texts, part.column("_runs").to_pylist(), strict=True)):
+                for one in found:
+                    source.append(k)
+                    digests.append(blake2b(data[one["_lo"] : one["_lo"] + one["_n"] - 1 + length], digest_size=16).digest())
+                    for n, values in fields.items():
+                        values.append(one[n])
+            kinds = {"_h": pa.int64(), "_lo": pa.int32(), "_n": pa.int32(), "_off": pa.int16(), "_again": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(source, pa.int32())), pa.array(digests, pa.binary()), *(pa.array(v, kinds[n]) for n, v in fields.items())], names=["_row", "_d", *fields])
+
+    return run
+
+
 def _contexts(length: int):
     """Cuts contexts out of compressed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part in sliced([batch], "_zstd", 1 << 20):
-                source, cut, names = [], [], ("_h", "_once", "_lo", "_off")
-                fields: dict[str, list] = {n: [] for n in names}
-                for k, (packed, reps) in enumerate(zip(part.column("_zstd").to_pylist(), part.column("_reps").to_pylist(), strict=True)):
-                    data = unpack.decompress(packed)
-                    for rep in reps:
-                        source.append(k)
-                        cut.append(data[rep["_lo"] : rep["_lo"] + rep["_n"] - 1 + length])
-                        for n in names:
-                            fields[n].append(rep[n])
-                yield pa.RecordBatch.from_arrays([pa.array(fields["_h"], pa.int64()), pa.array(fields["_once"], pa.bool_()), part.column("_row").take(pa.array(source, pa.int32())), pa.array(fields["_lo"], pa.int32()), pa.array(fields["_off"], pa.int16()), pa.array(cut, pa.binary())], names=["_h", "_once", "_row", "_lo", "_off", "_bytes"])
+        for part, texts in unpacked(batches, 1 << 20):
+            source, cut, names = [], [], ("_h", "_once", "_lo", "_off")
+            fields: dict[str, list] = {n: [] for n in names}
+            for k, (data, reps) in enumerate(zip(texts, part.column("_reps").to_pylist(), strict=True)):
+                for rep in reps:
+                    source.append(k)
+                    cut.append(data[rep["_lo"] : rep["_lo"] + rep["_n"] - 1 + length])
+                    for n in names:
+                        fields[n].append(rep[n])
+            yield pa.RecordBatch.from_arrays([pa.array(fields["_h"], pa.int64()), pa.array(fields["_once"], pa.bool_()), part.column("_row").take(pa.array(source, pa.int32())), pa.array(fields["_lo"], pa.int32()), pa.array(fields["_off"], pa.int16()), pa.array(cut, pa.binary())], names=["_h", "_once", "_row", "_lo", "_off", "_bytes"])
 
     return run
 
 
-def covered(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """_row, _spans: the covered byte ranges of rows that have any, unmerged. ``rows`` has a row number, _row."""
-    found = stage(rows.select("_row", text_of(text_col).alias("_text")).filter(F.octet_length("_text") >= length).mapInArrow(_find_runs(length), "_h long, _c long, _row long, _lo int, _n smallint, _off smallint"), "runs")
-    repeated = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_k"), F.min("_c").alias("_c0"), F.max("_c").alias("_c1")).filter("_k > 1")
-    repeated = stage(repeated.select("_h", (F.col("_c0") != F.col("_c1")).alias("_mixed")), "anchors")
-    candidates = stage(found.join(repeated, "_h"), "candidates")
-    mixed_runs = candidates.filter("_mixed")
-    by_context = stage(mixed_runs.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_row", "_lo", "_n", "_off")).alias("_rep")), "contexts")
-    per_anchor = by_context.groupBy("_h").agg(F.count(F.lit(1)).alias("_contexts"))
-    reps = by_context.select("_rep.*", "_h", (F.col("_k") == 1).alias("_once"))
-    per_row = reps.groupBy("_row").agg(F.collect_list(F.struct("_lo", "_n", "_off", "_h", "_once")).alias("_reps"))  # bounded by the row's own text
-    cut = stage(packed_texts(rows, id_col, text_col).select("_row", "_zstd").join(per_row, "_row").mapInArrow(_contexts(length), "_h long, _once boolean, _row long, _lo int, _off smallint, _bytes binary"), "cut")
+def covered(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """_row, _spans: the covered byte ranges of rows that have any, unmerged. ``packed``: see ``packed_rows``."""
+    texts = packed.select("_row", "_n_bytes", "_zstd")
+    found = stage(texts.filter(F.col("_n_bytes") >= length).mapInArrow(_find_runs(length), "_h long, _row long, _lo int, _n int, _off smallint, _again boolean"), "runs")
+    times = (F.count(F.lit(1)) + F.count_if("_again")).alias("_k")
+    repeated = stage(found.filter("_h IS NOT NULL").groupBy("_h").agg(times).filter("_k > 1").select("_h"), "anchors")
+    per_row = found.join(repeated, "_h").groupBy("_row").agg(F.collect_list(F.struct("_h", "_lo", "_n", "_off", "_again")).alias("_runs"))  # bounded by the row's own text
+    candidates = stage(texts.join(per_row, "_row").mapInArrow(_digested(length), "_row long, _d binary, _h long, _lo int, _n int, _off smallint, _again boolean"), "candidates")
+    by_context = stage(candidates.groupBy("_h", "_d").agg(times, F.min(F.struct("_row", "_lo", "_n", "_off")).alias("_rep")), "contexts")
+    per_anchor = stage(by_context.groupBy("_h").agg(F.count(F.lit(1)).alias("_contexts")).filter("_contexts > 1"), "mixed-anchors")
+    reps = by_context.join(per_anchor.select("_h"), "_h").select("_rep.*", "_h", (F.col("_k") == 1).alias("_once"))
+    per_row = reps.groupBy("_row").agg(F.collect_list(F.struct("_lo", "_n", "_off", "_h", "_once")).alias("_reps"))
+    cut = stage(texts.join(per_row, "_row").mapInArrow(_contexts(length), "_h long, _once boolean, _row long, _lo int, _off smallint, _bytes binary"), "cut")
     parts = F.ceil(F.col("_contexts") / PART_CONTEXTS).cast("long")
     large = stage(per_anchor.filter(F.col("_contexts") > TASK_CONTEXTS).select("_h", parts.alias("_parts")), "large")
-    tasks = shuffle_partitions(rows.sparkSession)
+    tasks = shuffle_partitions(packed.sparkSession)
     small = cut.join(large, "_h", "left_anti").repartition(tasks, "_h").sortWithinPartitions("_h")
     sorted_windows = small.mapInArrow(_sort_groups(length), "_row long, _lo int, _n int")
     dealt = stage(cut.join(large, "_h").mapInArrow(_deal(length), "_h long, _salt long, _windows binary, _row long, _lo int, _n int"), "dealt")
     met = dealt.filter("_windows IS NOT NULL").select("_h", "_salt", "_windows").repartition(tasks, "_h", "_salt").sortWithinPartitions("_h", "_salt")
     dealt_windows = dealt.filter("_row IS NOT NULL").select("_row", "_lo", "_n").unionAll(met.mapInArrow(_meet, "_row long, _lo int, _n int"))
-    same = candidates.filter("NOT _mixed").select("_row", "_lo", F.col("_n").cast("int").alias("_n"))
     # a join of its own, so that Spark can split the one context that very many rows share
-    many = mixed_runs.join(stage(by_context.filter("_k > 1").select("_h", "_c"), "repeated-contexts"), ["_h", "_c"], "left_semi")
-    many = stage(many.select("_row", "_lo", F.col("_n").cast("int").alias("_n")), "repeated-runs")
-    spans = same.unionAll(many).unionAll(sorted_windows).unionAll(dealt_windows)
+    many = candidates.join(stage(by_context.filter("_k > 1").select("_h", "_d"), "repeated-contexts"), ["_h", "_d"], "left_semi")
+    many = stage(many.select("_row", "_lo", "_n"), "repeated-runs")
+    told = found.filter("_h IS NULL").select("_row", "_lo", "_n")
+    spans = told.unionAll(many).unionAll(sorted_windows).unionAll(dealt_windows)
     span = F.struct(F.col("_lo").alias("start"), (F.col("_lo") + F.col("_n") - 1 + length).alias("end"))
     return spans.groupBy("_row").agg(F.collect_list(span).alias("_spans"))
 
@@ -395,33 +465,30 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for whole in batches:
-        for batch in sliced([whole], "_zstd", 2 << 20):
-            size, spans, kept = [], [], []
-            for packed, found in zip(batch.column("_zstd").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                data = unpack.decompress(packed)
-                runs_ = merged([(x["start"], x["end"]) for x in found or ()])
-                size.append(len(data))
-                spans.append([{"start": a, "end": b} for a, b in runs_])
-                kept.append(kept_bytes(data, runs_) if runs_ else data)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["_row", "doc_id", "n_bytes", "spans", "kept"])
+    for batch, texts in unpacked(batches, 2 << 20):
+        size, spans, kept = [], [], []
+        for data, found in zip(texts, batch.column("_spans").to_pylist(), strict=True):
+            runs_ = merged([(x["start"], x["end"]) for x in found or ()])
+            size.append(len(data))
+            spans.append([{"start": a, "end": b} for a, b in runs_])
+            kept.append(kept_bytes(data, runs_) if runs_ else data)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["_row", "doc_id", "n_bytes", "spans", "kept"])
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, row_col: str | None = None) -> DataFrame:
     """One row per input row: _row, doc_id, n_bytes, spans (maximal removed byte ranges), kept (the remaining bytes)."""
-    rows = df.withColumn("_row", F.col(row_col)) if row_col else with_row(df)
     kind = df.schema[id_col].dataType.simpleString()
-    texts = packed_texts(rows, id_col, text_col)
-    joined = texts.join(covered(rows, id_col, text_col, length), "_row", "left")
+    packed = packed_rows(df, id_col, text_col, "suffix-texts", row_col)
+    joined = packed.join(covered(packed, length), "_row", "left")
     return joined.mapInArrow(_cut, f"_row long, doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The input with repeated strings cut out of its texts; rows and other columns stay, an ``n_chars`` column follows the
     text. A character that was cut in part goes whole. Only texts that lose something are changed."""
-    rows = with_row(df, "_cut_row")
-    spans = covered(rows.withColumn("_row", F.col("_cut_row")), id_col, text_col, length).select(F.col("_row").alias("_cut_row"), "_spans")
+    row, found_col = free_name(df, "_cut_row"), free_name(df, "_spans")
+    rows = stage(with_row(df, row), "suffix-input")
+    spans = covered(packed_rows(rows, id_col, text_col, "suffix-texts", row), length).select(F.col("_row").alias(row), F.col("_spans").alias(found_col))
     names = df.columns
     at = names.index(text_col)
 
@@ -429,7 +496,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for whole in batches:
             for batch in sliced([whole], text_col, 2 << 20):
                 texts = []
-                for text, found in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                     if found:
                         text = kept_bytes(text.encode(), merged([(x["start"], x["end"]) for x in found])).decode("utf-8", "ignore")
                     texts.append(text)
@@ -437,7 +504,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = rows.join(spans, "_cut_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_spans")
+    joined = rows.join(spans, row, "left").select(*[F.col(f"`{c}`") for c in df.columns], found_col)
     out = joined.mapInArrow(run, df.schema)
     if text_col == "text" and "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType))
