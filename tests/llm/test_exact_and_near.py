@@ -37,13 +37,21 @@ def test_directory_covers_all_hashes(spark):
     hashes = [random.Random(1).getrandbits(64) - (1 << 63) for _ in range(500)] + [5] * 50
     buckets = exact_dedup.directory(spark.createDataFrame([(h,) for h in hashes], "_h long"), 4, 10)
     assert sum(2.0**-d for _, d, _ in buckets) == 1 and sum(n for _, _, n in buckets) == 550
-    assert max(n for _, d, n in buckets if d < exact_dedup.LAST_DEPTH) <= 10  # equal hashes alone overflow
+    inside = lambda p, d: {h for h in hashes if (h & (1 << 64) - 1) >> (64 - d) == p}
+    assert all(n <= 10 or len(inside(p, d)) == 1 for p, d, n in buckets)  # equal hashes alone overflow
     found = spark.createDataFrame([(h,) for h in hashes], "_h long").select("_h", exact_dedup._bucket_of(buckets).alias("b")).collect()
     for h, b in found:
         prefix, depth, _ = buckets[b]
         assert (h & (1 << 64) - 1) >> (64 - depth) == prefix
 
 
+def test_many_buckets(spark):
+    """More buckets than the first count has cells."""
+    buckets = [(p, 14, 1) for p in range(1 << 14)]
+    found = spark.range(1000).select(F.xxhash64("id").alias("_h")).select("_h", exact_dedup._bucket_of(buckets).alias("b")).collect()
+    assert all((h & (1 << 64) - 1) >> 50 == b for h, b in found)
+
+
 def test_exact_keeps_columns(frame):
     kept = exact_dedup.deduplicated(frame)
     assert kept.columns == frame.columns and kept.count() == exact_dedup.exact_groups(frame).filter("kept").count()

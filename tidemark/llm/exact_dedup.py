@@ -16,21 +16,24 @@ empty result; other columns of the input are never read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, shuffle_partitions, sliced, stage, text_of, with_row
+from tidemark.llm.common import documents, free_name, shuffle_partitions, sliced, stage, text_of, with_row
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a map task holds to fold equal texts; beyond it a new table begins.
 FOLD_BYTES = 48 << 20
 #: Buckets that every owner task gets, about.
 BUCKETS_PER_OWNER = 8
-FIRST_DEPTH, LAST_DEPTH = 12, 28
+#: Bits of the first count, and of the last: what shares all of these stays in one bucket and is chained by its hash.
+FIRST_DEPTH, LAST_DEPTH = 12, 60
 
 
 def normalised(text: Column) -> Column:
@@ -77,24 +80,33 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def directory(entries: DataFrame, owners: int, capacity: int | None = None) -> list[tuple[int, int, int]]:
     """Buckets (prefix, depth, entries) by ascending key range, as directory doubling leaves them.
 
-    Only prefixes of overfull buckets are counted again at a greater depth. What reaches the driver is bounded by
-    the number of owners and of buckets, not of entries: capacity grows with the input unless it is given."""
+    Only prefixes of overfull buckets are counted again at a greater depth, until a bucket holds one hash alone. What
+    reaches the driver is bounded by the number of owners and of buckets, not of entries: capacity grows with the input
+    unless it is given."""
     depth = FIRST_DEPTH
-    counts = dict(entries.groupBy(_prefix(depth).alias("p")).count().collect())
-    total = sum(counts.values())
-    capacity = capacity or max(16, total // (owners * BUCKETS_PER_OWNER))
-
-    def split(prefix: int, at: int, deepest: int) -> list[tuple[int, int, int]]:
-        n = sum(c for p, c in counts.items() if p >> (deepest - at) == prefix) if at < deepest else counts.get(prefix, 0)
-        if n <= capacity or at == deepest:
+    rows = entries.groupBy(_prefix(depth).alias("p")).count().collect()
+    counts = {r["p"]: r["count"] for r in rows}
+    single: set[int] = set()  # prefixes at this depth that hold one hash
+    capacity = capacity or max(16, sum(counts.values()) // (owners * BUCKETS_PER_OWNER))
+
+    def split(prefix: int, at: int, deepest: int, known: list[int], before: list[int]) -> list[tuple[int, int, int]]:
+        low, high = (bisect_left(known, p << (deepest - at)) for p in (prefix, prefix + 1))
+        n = before[high] - before[low]
+        if n <= capacity or at == deepest or high - low == 1 and known[low] in single:
             return [(prefix, at, n)]
-        return split(2 * prefix, at + 1, deepest) + split(2 * prefix + 1, at + 1, deepest)
+        return split(2 * prefix, at + 1, deepest, known, before) + split(2 * prefix + 1, at + 1, deepest, known, before)
+
+    def sums() -> tuple[list[int], list[int]]:
+        known = sorted(counts)
+        return known, [0, *accumulate(counts[p] for p in known)]
 
-    buckets = split(0, 0, depth)
-    while depth < LAST_DEPTH and (over := [b for b in buckets if b[1] == depth and b[2] > capacity]):
+    buckets = split(0, 0, depth, *sums())
+    while depth < LAST_DEPTH and (over := {b[0] for b in buckets if b[1] == depth and b[2] > capacity and b[0] not in single}):
         deeper = min(LAST_DEPTH, depth + 4)
-        counts = dict(entries.filter(_prefix(depth).isin([p for p, _, _ in over])).groupBy(_prefix(deeper).alias("p")).count().collect())
-        buckets = [b for p, d, n in buckets for b in ([(p, d, n)] if (p, d, n) not in over else split(p, d, deeper))]
+        rows = entries.filter(_prefix(depth).isin(list(over))).groupBy(_prefix(deeper).alias("p")).agg(F.count(F.lit(1)).alias("n"), (F.min("_h") == F.max("_h")).alias("one")).collect()
+        counts, single = {r["p"]: r["n"] for r in rows}, {r["p"] for r in rows if r["one"]}
+        known = sums()
+        buckets = [b for p, d, n in buckets for b in (split(p, d, deeper, *known) if d == depth and p in over else [(p, d, n)])]
         depth = deeper
     return buckets
 
@@ -104,23 +116,15 @@ def _prefix(depth: int) -> Column:
 
 
 def _bucket_of(buckets: list[tuple[int, int, int]]) -> Column:
-    """Bucket number of a hash: the directory's cells at full depth, as a literal of 2^depth entries at most per split level."""
-    deepest = min(max((d for _, d, _ in buckets), default=0), FIRST_DEPTH)
-    cells: list[str] = []
-    deep: dict[int, list[tuple[int, int, int]]] = {}
-    for number, (prefix, depth, _) in enumerate(buckets):
-        if depth <= deepest:
-            cells += [str(number)] * (1 << (deepest - depth))
-        else:
-            cell = prefix >> (depth - deepest)
-            if cell not in deep:
-                cells.append(str(number))
-            deep.setdefault(cell, []).append((prefix, depth, number))
-    at = F.element_at(F.split(F.lit(",".join(cells)), ","), (F.shiftrightunsigned("_h", 64 - deepest) if deepest else F.lit(0)).cast("int") + 1).cast("int")
-    for inner in deep.values():  # overfull cells, which uniform hashes don't have
-        for prefix, depth, number in inner:
-            at = F.when(_prefix(depth) == prefix, number).otherwise(at)
-    return at
+    """Bucket number of a hash: binary search among the first hashes of all buckets, a literal that grows with the owners alone."""
+    starts = F.split(F.lit(",".join(str((prefix << (64 - depth)) - (1 << 63)) for prefix, depth, _ in buckets)), ",").cast("array<bigint>")
+    at = F.col("_h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # unsigned order as signed order
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, len(buckets) - 1).bit_length() - 1, -1, -1)])
+
+    def step(found: Column, size: Column) -> Column:
+        return F.when(F.get(starts, found + size) <= at, found + size).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, capacity: int | None = None) -> DataFrame:
@@ -129,7 +133,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = shuffle_partitions(spark)
     df = df if row_col else with_row(df)
     text = normalised(text_of(text_col))
-    hashed = df.select(F.col(row_col or "_row").alias("_row"), F.col(id_col).alias("_id"), text.alias("_text")).select("_row", "_id", F.xxhash64("_text").alias("_h"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), "_text")
+    hashed = df.select(F.col(f"`{row_col or '_row'}`").alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text")).select("_row", "_id", F.xxhash64("_text").alias("_h"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), "_text")
     id_type = df.schema[id_col].dataType.simpleString()
     folded = stage(hashed.mapInArrow(_fold, f"_row long, _id {id_type}, _h long, _sha string, _entry long, _text string"), "exact-entries")
     entries = folded.filter(F.col("_text").isNotNull())
@@ -153,9 +157,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that stay, with all their columns."""
-    rows = with_row(df, "_exact_row")
-    kept = exact_groups(rows, id_col, text_col, "_exact_row").filter("kept").select(F.col("_row").alias("_exact_row"))
-    return rows.join(kept, "_exact_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    row = free_name(df, "_exact_row")
+    rows = stage(with_row(df, row), "exact-input")
+    kept = exact_groups(rows, id_col, text_col, row).filter("kept").select(F.col("_row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
