@@ -73,6 +73,22 @@ def test_words_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_code_point_equals_the_library():
+    path = str(public_tokenizers.path(packing.WORD_BPE))
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}! {chr(c)}" for c in range(k, min(k + 64, 0x110000)) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 64)]
+    texts = [t for t in texts if t]
+    got = packing.WordEncoder(path).encode(texts)
+    assert [k for k, (x, y) in enumerate(zip(got, plain.encode_batch(texts, add_special_tokens=False), strict=True)) if np.frombuffer(x, "<u4").tolist() != y.ids] == []
+
+
+def test_slots_beyond_a_broadcast(frame, monkeypatch):
+    want = Counter(map(tuple, packing.pack(frame, capacity=64).collect()))
+    monkeypatch.setattr(packing, "SLOTS_BROADCAST", 0)
+    assert Counter(map(tuple, packing.pack(frame, capacity=64).collect())) == want
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing(frame, corpus, capacity):
     path = str(public_tokenizers.path(packing.WORD_BPE))
@@ -145,6 +161,18 @@ def test_token_counts(frame, corpus, rule):
             assert got[i] == pytest.approx(brute_sections(text or "", rule))
 
 
+def test_long_white_space(spark):
+    """The library's own pattern raises on these."""
+    text = "a line\n" + " " * 2_000_000 + "\n" * 50 + "end"
+    rows = token_counts.section_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(rows) == 52 and sum(r.n_tokens for r in rows) == rows[0].doc_tokens and rows[-1].byte_end == len(text)
+
+
+def test_null_spans_give_no_rows(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "some text", []), (3, "some text", [(0, 4)])], "doc_id long, text string, at array<struct<start:int,end:int>>")
+    assert [r.doc_id for r in token_counts.section_tokens(df, spans_col="at").collect()] == [3]
+
+
 def test_crossing_tokens_by_hand():
     ends, spans = np.array([3, 6, 8]), np.array([[0, 4], [4, 5], [5, 7]])
     assert token_counts.attribute(ends, spans, "start")[0].tolist() == [2, 0, 1]

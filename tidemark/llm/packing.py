@@ -71,11 +71,28 @@ class WordEncoder:
         self.split = regex.compile(WORD_PATTERN).findall
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.alike: dict[str, bool] = {}
+
+    def _same_class(self, char: str) -> bool:
+        """Whether the library takes a character for what the pattern here does: the two may follow different versions of
+        Unicode. Each character is tried once, beside letters, digits and marks."""
+        if char not in self.alike:
+            if len(self.alike) > CHUNKS_KEPT:
+                self.alike = {}
+            tries = [f"a{char}b", f"1{char}!", char]
+            assigned = char < "\U00010000" and unicodedata.category(char) != "Cn"  # pairs beyond may compose in one version alone
+            self.alike[char] = assigned and all(self._whole(x) == self._split(x) for x in tries)
+        return self.alike[char]
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and not all(self._same_class(c) for c in set(chunk) if c > "\x7f"):
+            return self._whole(chunk)
+        return self._split(chunk)
+
+    def _split(self, chunk: str) -> bytes:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = chunk.lower() if "\u03a3" not in chunk else "".join(map(str.lower, chunk))
@@ -195,13 +212,21 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     counts = stage(pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
     table = pattern_slots(pack_histogram(histogram, capacity))
-    slots = spark.createDataFrame(table, "length long, _from long, _to long, _sequence long, _offset long")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = pieces.join(bases, ["_part", "length"]).withColumn("_rank", F.col("_base") + F.col("_number"))
-    slots = F.broadcast(slots) if len(table) <= SLOTS_BROADCAST else slots
-    placed = ranked.join(slots, "length").filter("_rank >= _from AND _rank < _to")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    # dealt out by task and length, of which there are more in a larger corpus; a key holds no more than one task's pieces
+    ranked = pieces.hint("merge").join(bases, ["_part", "length"]).withColumn("_rank", F.col("_base") + F.col("_number"))
+    by_length: dict[int, list[tuple]] = {}
+    for length, first, _, sequence, offset in table:
+        by_length.setdefault(length, []).append((first, sequence, offset))
+    columns = [(length, *map(list, zip(*sorted(found), strict=True))) for length, found in sorted(by_length.items())]
+    slots = spark.createDataFrame(columns, "length long, _from array<long>, _sequence array<long>, _offset array<long>")
+    slots = F.broadcast(slots) if len(table) <= SLOTS_BROADCAST else slots.hint("merge")
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, max(map(len, by_length.values()), default=1)).bit_length(), -1, -1)])
+    later = lambda at, step: F.when(F.get("_from", at + step) <= F.col("_rank"), at + step).otherwise(at)
+    placed = ranked.join(slots, "length").withColumn("_at", F.aggregate(steps, F.lit(0), later))  # one place a piece, by binary search
+    sequence = F.get("_sequence", F.col("_at")) + F.col("_rank") - F.get("_from", F.col("_at"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), F.get("_offset", F.col("_at")).alias("offset"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

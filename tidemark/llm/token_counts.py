@@ -11,12 +11,13 @@ allocated by an explicit rule:
 Sections are the lines of a text by default (a line ends with its line feed), or any spans given in an array column.
 
 Defined cases: a null or empty text has one empty section without tokens; given spans must ascend without overlap, may
-leave gaps, and tokens of gaps are counted in no section but in ``doc_tokens``; rows with equal ids stay apart as rows; an
+leave gaps, and tokens of gaps are counted in no section but in ``doc_tokens``; a null or empty array of spans gives no rows; rows with equal ids stay apart as rows; an
 empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import byte_bpe
 from tidemark.llm.common import documents, sliced, text_of
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 RULES = ("start", "most", "share")
+#: The library's pattern gives up on white space of some 900,000 characters; texts with long runs are encoded by the
+#: automaton and the pair merging of ``bpe``, whose ids are the same.
+LONG_SPACE = re.compile(r"\s{50000}")
 
 
 @lru_cache(2)
@@ -47,6 +52,12 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def _ids(encoding, path: str, text: str) -> np.ndarray:
+    if LONG_SPACE.search(text):
+        return byte_bpe(path).encode([text])[0]
+    return encoding.encode_to_numpy(text, disallowed_special=())
+
+
 def line_spans(data: bytes) -> np.ndarray:
     """[start, end) of every line in bytes; the line feed belongs to the line that it ends."""
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
@@ -91,8 +102,8 @@ def section_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             given = batch.column("_spans").to_pylist() if spans_col else [None] * batch.num_rows
             source, parts = [], []
             for row, (text, spans) in enumerate(zip(batch.column("_text").to_pylist(), given, strict=True)):
-                ends = np.cumsum(sizes[np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.int64)]) if text else np.empty(0, np.int64)
-                spans = line_spans(text.encode()) if spans is None else np.array([[x[0], x[1]] if isinstance(x, tuple) else [*x.values()] for x in spans], np.int64).reshape(-1, 2)
+                ends = np.cumsum(sizes[np.asarray(_ids(encoding, path, text), np.int64)]) if text else np.empty(0, np.int64)
+                spans = line_spans(text.encode()) if not spans_col else np.array([[x[0], x[1]] if isinstance(x, tuple) else [*x.values()] for x in spans or ()], np.int64).reshape(-1, 2)
                 if not len(spans):
                     continue
                 counts, crossing = attribute(ends, spans, rule)
