@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -316,6 +317,23 @@ def test_shards(frame, corpus):
     assert len(slot_map.shard_of) == sharding.SLOTS
 
 
+def test_shards_follow_no_layout(frame, spark):
+    """Slots come from what records hold: other partitions, other order, same shards; equal records are spread."""
+    many = frame.select("doc_id", "text").unionAll(spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same").alias("text")))
+    told = [Counter((r.doc_id, r.text_crc32, r.virtual_slot, r.shard) for r in sharding.shard_rows(x, 8)[0].collect()) for x in (many.repartition(7), many.coalesce(1).orderBy("text"))]
+    assert told[0] == told[1] and len({k[2] for k in told[0] if k[0] == 5}) > 2000
+    size = Counter()
+    for (_, _, _, shard), n in told[0].items():
+        size[shard] += n
+    assert len(size) == 8
+
+
+def test_short_texts_and_one_class(spark):
+    assert quality.judged("plain", {0: 0.9, 2: 0.1}, None, 0.5) == (0.9, 0.9, True)
+    assert quality.judged("%% ## $$ @@", {0: 0.9, 2: 0.1}, None, 0.5)[2] is False
+    assert quality.judged("", {}, None, 0.5) == (1.0, 1.0, True)
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     rng = random.Random(1)
     sizes = [rng.randrange(1000) for _ in range(4096)]

@@ -5,14 +5,16 @@
    labeller votes on good and on bad documents, and so the posterior of every pattern. No labelled document is needed.
 3. Posterior labels of a bounded random sample (``SAMPLE`` documents, about) train a linear scorer over hashed
    features: byte trigrams and a few binned word statistics.
-4. Every whole document is scored; it stays if its probability of being good is ``LEAST_GOOD`` or more.
+4. Every whole document is scored; it stays if its probability of being good is ``LEAST_GOOD`` or more. A text of fewer
+   than ``FEW_WORDS`` words also stays if the labellers' posterior says good. Where the sample has one class alone and no
+   scorer can be trained, the posterior decides.
 
-The pattern counts cover all documents; only the scorer's training rows are sampled, by a hash of row number and size,
+The pattern counts cover all documents; only the scorer's training rows are sampled, by a hash of the text,
 and the sample's bound is a parameter.
 
 Defined cases: a null or empty text has no evidence against it, gets the votes of no labeller and stays; rows with
 equal ids are scored each by its own text, equal texts equally; an empty table gives no rows; other columns are
-carried along or not read. If all patterns agree on one class, everything stays.
+carried along or not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tidemark.llm.common import documents, sliced, stage, text_of, with_row
 SAMPLE = 6000
 BUCKETS = 1 << 15
 LEAST_GOOD = 0.5
+#: Texts of fewer words go only if the scorer and the labellers' posterior both reject them.
+FEW_WORDS = 5
 #: Common short words of English, French, German and Spanish, which running text holds many of.
 COMMON = frozenset(
     "the of and to in a is that it was for on are with as be this have from or by at an not but"
@@ -61,8 +65,10 @@ def statistics(text: str) -> tuple[float, float, float, float, float, float, int
 def votes(values: tuple[float, float, float, float, float, float, int]) -> tuple[int, ...]:
     """The labellers' votes from a text's statistics."""
     marks, capitals, repeats, common, ends, variety, n = values
-    if n < 5:
+    if not n:
         return (NOTHING,) * 6
+    if n < FEW_WORDS:  # too few for all but the marks
+        return (BAD if marks > 0.5 else NOTHING, *(NOTHING,) * 5)
     expected = min(1.0, 6 * n**-0.35)  # distinct words become rarer in long texts
     return (
         BAD if marks > 0.3 else GOOD if marks < 0.05 else NOTHING,
@@ -152,10 +158,20 @@ def score(text: str, values: tuple, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[bucket] @ value + weights[-1], -30, 30))))
 
 
+def judged(text: str, posterior: dict[int, float], weights: np.ndarray | None, least_good: float) -> tuple[float, float, bool]:
+    """(the labellers' posterior, the scorer's probability or, without a scorer, the posterior again, whether the text stays)"""
+    values = statistics(text)
+    if not values[-1]:
+        return 1.0, 1.0, True
+    weak = posterior.get(pattern(votes(values)), 1.0)
+    good = weak if weights is None else score(text, values, weights)
+    return weak, good, good >= least_good or values[-1] < FEW_WORDS and weak >= least_good
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "_text"):
         found = [statistics(t) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([pattern(votes(x)) for x in found], pa.int32())], names=["_row", "_pattern"])
+        yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(x)) for x in found], pa.int32())], names=["_pattern"])
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +182,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray | None]:
     """(posterior of every vote pattern, scorer's weights; none where only one class was found). Patterns are counted over all rows."""
-    texts = with_row(df.select(text_of(text_col).alias("_text")))
-    counted = texts.mapInArrow(_vote, "_row long, _pattern int").groupBy("_pattern").count()
+    texts = df.select(text_of(text_col).alias("_text"))
+    counted = texts.mapInArrow(_vote, "_pattern int").groupBy("_pattern").count()
     counts = {r["_pattern"]: r["count"] for r in counted.collect()}  # 3^6 rows at most
     posterior = fit_labellers(counts)
     total = sum(counts.values())
     informative = {c for c in counts if c}  # a document on which nobody votes teaches nothing
     if not informative:
         return posterior, None
-    order = F.xxhash64("_row", F.octet_length("_text"))
+    order = F.xxhash64("_text")  # by content, so that the sample is the same however the rows are laid out; copies count once
     part = min(1.0, sample / total)
-    drawn = texts.withColumn("_order", order).filter(F.pmod("_order", F.lit(1 << 30)) < int(part * (1 << 30)))
+    drawn = texts.withColumn("_order", order).filter(F.pmod("_order", F.lit(1 << 30)) < int(part * (1 << 30))).dropDuplicates(["_order"])
     rows = drawn.mapInArrow(_featured, "_order long, _pattern int, _bucket binary, _value binary").collect()  # about ``sample`` rows
     rows = [r for r in sorted(rows, key=lambda r: (r["_order"], r["_pattern"], len(r["_bucket"]))) if r["_pattern"] in informative]
     data = [(np.frombuffer(r["_bucket"], np.int32), np.frombuffer(r["_value"], np.float32).astype(float), posterior[r["_pattern"]]) for r in rows]
@@ -192,12 +208,9 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            weak, good = [], []
-            for text in batch.column("_text").to_pylist():
-                values = statistics(text)
-                weak.append(posterior.get(pattern(votes(values)), 1.0))
-                good.append(score(text, values, weights) if weights is not None and values[-1] >= 5 else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(weak), pa.array(good), pa.array([g >= least_good for g in good])], names=["_row", "doc_id", "weak_good", "good", "kept"])
+            found = [judged(text, posterior, weights, least_good) for text in batch.column("_text").to_pylist()]
+            weak, good, kept = ([x[k] for x in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(weak, pa.float64()), pa.array(good, pa.float64()), pa.array(kept, pa.bool_())], names=["_row", "doc_id", "weak_good", "good", "kept"])
 
     return rows.select("_row", F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text")).mapInArrow(run, f"_row long, doc_id {kind}, weak_good double, good double, kept boolean")
 
@@ -208,11 +221,7 @@ def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            keep = []
-            for text in batch.column(text_col).to_pylist():
-                values = statistics(text or "")
-                keep.append(weights is None or values[-1] < 5 or score(text, values, weights) >= LEAST_GOOD)
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array([judged(text or "", posterior, weights, LEAST_GOOD)[2] for text in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

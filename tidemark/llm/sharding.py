@@ -4,8 +4,12 @@ Records are hashed into a fixed number of virtual slots (thousands, however larg
 slot are summed; and a small versioned slot-to-shard map, balanced by those bytes, says which shard a slot is in.
 Growing or rebalancing edits the map, so only the records of the edited slots move.
 
+A record's slot is a hash of what it holds (id, text checksum, size) and of its number among equal records, so it doesn't
+follow the layout of files or the count of cores. Equal texts are not kept together: a group of copies may hold more
+than a shard.
+
 Defined cases: a null text has no bytes and counts its overhead alone; a null id hashes like any other value; equal
-ids, equal texts and repeated rows are spread, for the hash also takes a running number (see ``slot_of``); an empty
+ids, equal texts and repeated rows are spread, for the hash also takes that number (see ``slotted``); an empty
 table gives no rows and a map that deals the empty slots evenly. Extra columns are left alone: only the named
 columns are read, and results carry fixed names.
 """
@@ -13,6 +17,7 @@ columns are read, and results carry fixed names.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import documents, stage, text_of
+from tidemark.llm.common import delete_on_exit, documents, shared_dir, stage, text_of
 
 SLOTS = 8192
 OVERHEAD = 16
+#: Parts in which equal records are numbered.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -97,12 +104,23 @@ def slot_of(keys: list[Column], slots: int = SLOTS) -> Column:
 
 
 def slotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One staged row per record without its text: id, size, crc32 of the text, running number and virtual slot.
+    """One staged row per record without its text: id, size, crc32 of the text and virtual slot.
 
-    The running number keeps rows with equal ids and texts from all landing in one slot."""
+    Records that are equal in all of these are numbered, so that they don't all land in one slot; which of them has which
+    number makes no difference. They are counted first, and numbered in ``SALTS`` parts each."""
     text = text_of(text_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
-    return stage(rows.withColumn("_slot", slot_of([F.col("doc_id"), F.col("text_crc32"), F.col("_row")], slots)), "slotted")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    rows = stage(rows.withColumn("_key", F.xxhash64("doc_id", "text_crc32", "size")), "records")
+    repeated = stage(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "repeated-records")
+    single = rows.join(repeated, "_key", "left_anti").withColumn("_number", F.lit(0).cast("long"))
+    several = rows.join(repeated, "_key", "left_semi").withColumn("_salt", F.pmod("_row", F.lit(SALTS)))
+    held = several.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows at most
+    bases = held.select("_key", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_key", "_salt").orderBy("_row"))
+    several = several.withColumn("_number", within - 1).join(bases, ["_key", "_salt"]).withColumn("_number", F.col("_base") + F.col("_number"))
+    columns = ["doc_id", "size", "text_crc32", slot_of([F.col("_key"), F.col("_number")], slots).alias("_slot")]
+    return stage(single.select(*columns).unionAll(several.select(*columns)), "slotted")
 
 
 def bytes_per_slot(rows: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -121,13 +139,27 @@ def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
     counts = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shard", slot_map.shard(F.col("_slot")))
     before = Window.partitionBy("_shard").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_slot", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_slot").orderBy(F.col("doc_id").asc_nulls_last(), "_row")
+    within = Window.partitionBy("_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     placed = rows.withColumn("_k", F.row_number().over(within) - 1)
     out = placed.join(F.broadcast(bases), "_slot")  # at most one row per virtual slot
-    return out.select("doc_id", "size", "text_crc32", F.col("_shard").alias("shard"), (F.col("_base") + F.col("_k")).cast("long").alias("slot")), slot_map
+    return out.select("doc_id", "size", "text_crc32", F.col("_shard").alias("shard"), (F.col("_base") + F.col("_k")).cast("long").alias("slot"), F.col("_slot").alias("virtual_slot")), slot_map
+
+
+def slot_bytes(placed: DataFrame, slots: int = SLOTS) -> list[int]:
+    """Bytes of each virtual slot of placed records."""
+    return bytes_per_slot(placed.select(F.col("virtual_slot").alias("_slot"), "size"), slots)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 of near equal bytes."""
-    rows, _ = shard_rows(documents(spark, sf_dir), 40)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
+    """All documents in shards 0 to 39 of near equal bytes, by version 1 of a stored map; ``next_shard`` is where a record
+    goes when the map is edited to version 2 for a 41st shard."""
+    rows, first = shard_rows(documents(spark, sf_dir), 40)
+    path = f"{shared_dir(spark)}/tidemark-slot-map-{uuid.uuid4().hex}"
+    first.save(spark, path)
+    rebalanced_map(first, slot_bytes(rows), 41).save(spark, path)
+    delete_on_exit(spark, path)
+    one, two = SlotMap.load(spark, path, 1), SlotMap.load(spark, path)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), one.shard(F.col("virtual_slot")).alias("shard"), "slot",
+        F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "virtual_slot", F.lit(two.version).alias("map_version"), two.shard(F.col("virtual_slot")).alias("next_shard"),
+    )
