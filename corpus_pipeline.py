@@ -12,6 +12,7 @@ follows the text where the column exists. A null text that loses nothing stays n
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,43 +20,25 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup
 
 
-def _begin(spark: SparkSession) -> None:
-    """The stage before was written: what it had staged can go."""
-    common.release()
-    common.small_batches(spark)
+OWNER = "pipeline"
 
 
-def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return quality.accepted(docs)
+def _stage(function: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(OWNER)  # the stage before was written: what it had staged can go
+        common.small_batches(spark)
+        with common.owned(OWNER):
+            return function(docs)
 
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return exact_dedup.deduplicated(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return near_dedup.one_of_each(docs)
-
-
-def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return suffix_dedup.without_repeats(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return packing.pack(docs)
+    return run_stage
 
 
 STAGES = [
-    ("quality classifier", classify),
-    ("exact dedup", drop_copies),
-    ("near dedup", drop_near_copies),
-    ("suffix-array dedup", cut_passages),
-    ("packing", pack),
+    ("quality classifier", _stage(quality.accepted)),
+    ("exact dedup", _stage(exact_dedup.deduplicated)),
+    ("near dedup", _stage(near_dedup.one_of_each)),
+    ("suffix-array dedup", _stage(suffix_dedup.without_repeats)),
+    ("packing", _stage(packing.pack)),
 ]
 ORACLE_SQL = None  # classifier, sketches and packing can't be said in SQL; tests/llm holds brute-force versions
 
@@ -68,6 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = stage(spark, docs, sf_dir)
         found.write.parquet(f"{root}/{k}")
         docs = spark.read.schema(found.schema).parquet(f"{root}/{k}")
-    common.release()
+    common.release(OWNER)
     common.delete_on_exit(spark, root)
     return docs
