@@ -258,3 +258,37 @@ def test_provenance(spark, root):
     e.load("t", spark.range(3).selectExpr("id AS x", "id % 2 AS _agent_id"))
     assert rows(e.scan("t", hidden=True).filter("_agent_id = 1").select("x")) == [(1,)]
     assert e.scan("t").columns == ["x"]
+
+
+def test_space_comes_back_but_for_open_snapshots(spark, root):
+    import os
+
+    e = Engine(spark, root)
+    e.exec("CREATE TABLE t (id INT, v INT)")
+    e.exec("INSERT INTO t VALUES (1, 1), (2, 2)")
+    reader = e.begin()
+    e.exec("DELETE FROM t WHERE id = 1")
+    oid = e._state.named("t").oid
+    e.vacuum("t")
+    assert [r.id for r in e.scan("t", txn=reader).orderBy("id").collect()] == [1, 2]  # its folders are still there
+    reader.commit()
+    e.vacuum("t")
+    assert len(os.listdir(f"{root}/data/{oid}")) == 1 and [r.id for r in e.scan("t").collect()] == [2]
+
+
+def test_plain_selects_are_not_sorted(spark, root):
+    e = Engine(spark, root)
+    e.exec("CREATE TABLE t (id INT)")
+    e.exec("INSERT INTO t VALUES (2), (1)")
+    plan = lambda text: e.exec(text)._jdf.queryExecution().toString()
+    assert "Sort" not in plan("SELECT * FROM t WHERE id > 0") and "Sort" in plan("SELECT * FROM t ORDER BY id")
+
+
+def test_log_entries_are_renamed_into_place(spark, root):
+    from tidemark.sources.commit_log import CommitLog
+
+    log = CommitLog(spark, root)
+    log._local = None  # as on a filesystem that only Spark reaches
+    assert log.put("000000000001.json", '{"version": 1}') and not log.put("000000000001.json", '{"version": 2}')
+    assert [n for n in log.names() if n.endswith(".json")] == ["000000000001.json"] and log._read("000000000001.json") == '{"version": 1}'
+    assert not [n for n in log.names() if n.startswith(".") and not n.endswith(".crc")]

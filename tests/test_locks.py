@@ -152,3 +152,25 @@ def test_snapshots_under_writers(counter):
     for r in readers:
         r.abort()
     assert counter.exec("SELECT * FROM c").count() == 5
+
+
+def test_a_long_queue_is_searched_quickly():
+    """Every waiter waits for all those ahead: a complete graph without a cycle."""
+    m = LockManager(0.05)
+    m.acquire(0, (1,), EXCLUSIVE)
+    threads = [start(m.acquire, k, (1,), EXCLUSIVE)[0] for k in range(1, 101)]
+    deadline = time.monotonic() + 30
+    while len(m.wait_edges()) < 100 * 101 // 2 and time.monotonic() < deadline:
+        time.sleep(0.05)
+    began = time.monotonic()
+    with m._changed:
+        m._break_cycles()
+    assert time.monotonic() - began < 1 and not m._victims
+    until = time.monotonic() + 30
+    while (held := [x for _, _, x, _, granted in m.states() if granted] or m.wait_edges()) and time.monotonic() < until:
+        for xid in held if isinstance(held, list) else ():
+            m.release_all(xid)
+        time.sleep(0.002)
+    for thread in threads:
+        thread.join(30)
+    assert not any(t.is_alive() for t in threads)

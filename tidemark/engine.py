@@ -10,6 +10,7 @@ exclusively, so that lock memory stays bounded whatever the table's size."""
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
 from collections.abc import Iterable, Sequence
@@ -85,7 +86,8 @@ class Transaction:
 
     def __del__(self):
         if self.open:
-            self.abort()
+            with contextlib.suppress(Exception):  # the session may have ended before
+                self.abort()
 
 
 class Engine:
@@ -153,7 +155,9 @@ class Engine:
 
     def _abort(self, txn: Transaction) -> None:
         if txn.open:
-            self._end(txn)  # staged files are in no entry; compaction of the folder may remove them
+            self._end(txn)
+            for own in txn.staged.values():  # these are in no entry
+                self._delete_folders([p for p, _ in own.files] + own.deletions + [p for _, p in own.index_files])
 
     def _end(self, txn: Transaction) -> None:
         txn.open = False
@@ -198,7 +202,7 @@ class Engine:
             self.create_index(statement.table, statement.column)
             return None
         if isinstance(statement, Select) and statement.lock is None:
-            return lowering.select(self._frame(statement.table), statement)[1]
+            return lowering.select(self._frame(statement.table), statement, ordered=False)[1]
         with self.begin() as own:
             return self._run(statement, own)
 
@@ -208,7 +212,7 @@ class Engine:
         self._lock_table(txn, table, locks.ACCESS_SHARE if plain else locks.ROW_EXCLUSIVE)
         txn.advance_command()
         if isinstance(statement, Select):
-            rows, picked = lowering.select(store.frame(self.spark, table), statement)
+            rows, picked = lowering.select(store.frame(self.spark, table), statement, ordered=not plain)
             if statement.lock:
                 self._lock_rows(txn, table, rows, statement.lock)
             return picked
@@ -385,6 +389,8 @@ class Engine:
             table = txn.table(name)
             self._lock_table(txn, table, locks.ACCESS_EXCLUSIVE)
             self._publish(txn.xid, [{"do": "drop_table", "oid": table.oid}])
+            self._active.pop(txn.xid, None)
+            self.reclaim(table.oid)
 
     def create_index(self, name: str, column: str) -> int:
         """A range-partitioned, sorted projection (key, row id) of all committed rows; waits for writers and holds them off."""
@@ -574,8 +580,9 @@ class Engine:
             raise TableNotFound(name)
         return store.dead_rows(self.spark, table)
 
-    def vacuum(self, name: str) -> None:
-        """Rewrites a table's visible rows and indexes as few files without deletions; row ids stay, older versions stay readable."""
+    def vacuum(self, name: str, keep_versions: bool = False) -> None:
+        """Rewrites a table's visible rows and indexes as few files without deletions; row ids stay. The folders that no open
+        snapshot names are deleted, unless ``keep_versions`` leaves older versions readable."""
         with self.begin() as txn:
             self._lock_table(txn, txn.table(name), locks.ACCESS_EXCLUSIVE)
             table = self._state.tables[txn.table(name).oid]
@@ -587,6 +594,35 @@ class Engine:
                 made[str(index.oid)] = self._folder(table, "index")
                 self._sorted_entries(rows, index.column, parts).write.parquet(made[str(index.oid)])
             self._publish(txn.xid, [{"do": "compact", "oid": table.oid, "path": path, "indexes": made}])
+            if not keep_versions:
+                self._active.pop(txn.xid, None)  # its own snapshot is the version before
+                self.reclaim(table.oid)
+
+    def _delete_folders(self, paths: Iterable[str]) -> None:
+        for name in paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def reclaim(self, oid: int) -> list[str]:
+        """Deletes a table's folders that neither the present version nor the snapshot of an open transaction names, and forgets
+        the versions before those: they can't be read any more. The caller keeps writers of this table off. Returns the folders."""
+        with self._mutex:
+            least = min([*self._active.values(), self._state.version])
+            self._states = {v: state for v, state in self._states.items() if v >= least}
+            pinned = {v: self._states[v] for v in self._active.values() if v in self._states} | {self._state.version: self._state}
+            self._states = pinned
+        live = set()
+        for state in pinned.values():
+            if (table := state.tables.get(oid)) is not None:
+                live |= {*table.files, *(p for p, _ in table.deletions), *(p for i in table.indexes for p in i.files)}
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{oid}")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        kept = {p.rsplit("/", 1)[1] for p in live}
+        gone = sorted(f"{self.root}/data/{oid}/{s.getPath().getName()}" for s in files.listStatus(folder) if s.getPath().getName() not in kept)
+        self._delete_folders(gone)
+        return gone
 
     def checkpoint(self) -> None:
         """Folds the log up to now into one file, from which the next opening starts."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,13 +26,14 @@ class IndexFollower:
     def _apply(self, batch: DataFrame, number: int) -> None:
         oid = self.engine._state.named(self.table).oid
         entries = batch.select("version", F.explode("actions").alias("a")).filter((F.col("a.oid") == oid) & F.col("a.do").isin("add", "compact"))
-        found = sorted((r["version"], r["path"]) for r in entries.select("version", "a.path").collect())  # metadata
+        live = set(self.engine._state.named(self.table).files)  # what compaction has replaced since needs no entries
+        found = sorted((r["version"], r["path"]) for r in entries.select("version", "a.path").collect() if r["path"] in live)  # metadata
         top = batch.agg(F.max("version")).first()[0]
         spark = self.engine.spark
         if found:
             table = self.engine._state.named(self.table)
-            rows = store.read(spark, table.schema, tuple(p for _, p in found))
-            Engine._sorted_entries(rows, self.column).write.mode("overwrite").parquet(f"{self.path}/entries/batch={number}")
+            parts = [Engine._sorted_entries(store.read(spark, table.schema, (p,)), self.column).withColumn("_path", F.lit(p)) for _, p in found]
+            functools.reduce(DataFrame.unionAll, parts).write.mode("overwrite").parquet(f"{self.path}/entries/batch={number}")
         if top is not None:  # after the entries: a batch that is run again writes the same
             applied = [(top, p) for _, p in found] or [(top, None)]
             spark.createDataFrame(applied, "version long, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/applied/batch={number}")
@@ -56,14 +59,18 @@ class IndexFollower:
         return self.engine.version - self.applied()[0]
 
     def lookup(self, key) -> DataFrame:
-        """Ids of the rows with this key, fresh: applied entries from the projection, the rest from the table's files."""
+        """Ids of the rows with this key, fresh: applied entries of the folders that the table still has, the rest from the table's
+        files. Entries of folders that a compaction has replaced are left alone."""
         spark, table = self.engine.spark, self.engine._state.named(self.table)
-        _, covered = self.applied()
+        _, applied = self.applied()
+        covered = applied.intersection(table.files)
         kind = next(c.field.dataType for c in table.columns if c.name == self.column)
         tail = store.read(spark, table.schema, tuple(p for p in table.files if p not in covered)).select(F.col(f"`{self.column}`").alias("_key"), "_tid")
         rows = tail
         if covered:
-            rows = tail.unionAll(spark.read.schema(f"_key {kind.simpleString()}, _tid long").parquet(f"{self.path}/entries/*"))
+            entries = spark.read.schema(f"_key {kind.simpleString()}, _tid long, _path string").parquet(f"{self.path}/entries/*")
+            named = spark.createDataFrame([(p,) for p in sorted(covered)], "_path string")
+            rows = tail.unionAll(entries.filter(F.col("_key") == F.lit(key)).join(named, "_path", "left_semi").select("_key", "_tid"))
         found = rows.filter(F.col("_key") == F.lit(key)).select("_tid").distinct()
         return found.join(store.deleted_ids(spark, table.deletions), "_tid", "left_anti") if table.deletions else found
 
