@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,9 @@ from tidemark.llm.common import documents, sliced, stage, text_of
 
 WORD_BPE = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
-#: Chunks between white space whose ids a worker remembers; beyond it the memory starts anew.
-CHUNKS_KEPT = 120_000
+#: Chunks between white space whose ids a worker remembers. When so many are new, they become the older ones, and what was
+#: not asked for since the last time is forgotten.
+CHUNKS_KEPT = 100_000
 END_MARK = b"\xff"
 # Fixed value: the word pattern of the tokenizer's file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -71,6 +73,8 @@ class WordEncoder:
         self.split = regex.compile(WORD_PATTERN).findall
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.alike: dict[str, bool] = {}
 
     def _same_class(self, char: str) -> bool:
@@ -92,16 +96,25 @@ class WordEncoder:
             return self._whole(chunk)
         return self._split(chunk)
 
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            if (ids := self.older_words.get(word)) is None:
+                found = self.core.encode_single_piece(word.encode() + END_MARK)
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.words[word] = ids
+        return ids
+
     def _split(self, chunk: str) -> bytes:
-        if not chunk.isascii():
+        if chunk.isascii():
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return self._word(chunk)
+            if chunk[:-1].isalpha() and not chunk[-1].isdigit():  # a word and one mark
+                return self._word(chunk[:-1]) + self._word(chunk[-1])
+        else:
             chunk = unicodedata.normalize("NFC", chunk)
-        chunk = chunk.lower() if "\u03a3" not in chunk else "".join(map(str.lower, chunk))
-        out = []
-        for word in self.split(chunk):
-            if (ids := self.words.get(word)) is None:
-                ids = self.words[word] = np.array(self.core.encode_single_piece(word.encode() + END_MARK), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+            chunk = chunk.lower() if "\u03a3" not in chunk else "".join(map(str.lower, chunk))
+        return b"".join(map(self._word, self.split(chunk)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -114,11 +127,12 @@ class WordEncoder:
                 yield b"".join(map(self.chunks.__getitem__, chunks))
             except KeyError:
                 if len(self.chunks) > CHUNKS_KEPT:
-                    self.chunks = {}
+                    self.chunks, self.older_chunks = {}, self.chunks
                 if len(self.words) > CHUNKS_KEPT:
-                    self.words = {}
-                for chunk in set(chunks).difference(self.chunks):
-                    self.chunks[chunk] = self._chunk(chunk)
+                    self.words, self.older_words = {}, self.words
+                known, older = self.chunks, self.older_chunks
+                for chunk in set(chunks).difference(known):
+                    known[chunk] = ids if (ids := older.get(chunk)) is not None else self._chunk(chunk)
                 yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
