@@ -34,12 +34,15 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
+    writer = df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1")
+    writer.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     delete_on_exit(spark, path)
     _staged.append((spark, path, _owner[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a task gathers of a staged table before it writes them; whole texts make Spark's usual 128 MB heavy.
+ROW_GROUP = 16 << 20
 #: Rows of a few numbers that a broadcast table may have: some 32 MB.
 BROADCAST_ROWS = 1_000_000
 

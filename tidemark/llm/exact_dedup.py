@@ -29,7 +29,7 @@ from tidemark.llm.common import documents, free_name, shuffle_partitions, sliced
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a map task holds to fold equal texts; beyond it a new table begins.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 24 << 20
 #: Buckets that every owner task gets, about.
 BUCKETS_PER_OWNER = 8
 #: Bits of the first count, and of the last: what shares all of these stays in one bucket and is chained by its hash.
