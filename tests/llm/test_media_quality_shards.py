@@ -275,6 +275,119 @@ def test_tall_payloads_and_broken_files(monkeypatch):
             media.WebpReader(broken).pixels()
 
 
+def transforms_of(data):
+    """The kinds of transform in the file, and whether the picture has a colour cache."""
+    reader = media.WebpReader(data)
+    bits, kinds, width = reader.bits, [], reader.width
+    while bits.read(1):
+        kinds.append(["predictor", "cross", "green", "palette"][bits.read(2)])
+        if kinds[-1] in ("predictor", "cross"):
+            block = bits.read(3) + 2
+            reader._image(media._shrunk(width, block), media._shrunk(reader.height, block))
+        elif kinds[-1] == "palette":
+            reader._image(bits.read(8) + 1, 1)
+    return kinds, bool(bits.read(1))
+
+
+def written_pictures():
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:70, :64]
+    noise = rng.integers(0, 256, (70, 64))
+    smooth = np.stack([2 * x + y, x + 2 * y, x + y + 40], 2) + rng.integers(0, 2, (70, 64, 3))
+    signed_noise = noise.astype(np.uint8).view(np.int8).astype(int)
+    crossed = np.stack([signed_noise * 3 // 4, noise, signed_noise * -1 // 4], 2) + rng.integers(0, 3, (70, 64, 3))
+    greyish = np.stack([noise, noise, noise], 2) + rng.integers(0, 2, (70, 64, 3))
+    few = rng.integers(0, 256, (13, 3))[rng.integers(0, 13, (70, 64))]
+    words = rng.integers(0, 256, (700, 3))[rng.zipf(1.3, (70, 64)) % 700]
+    return {"predictor": smooth, "cross": crossed, "green": greyish, "palette": few, "cache": words, "none": rng.integers(97, 123, (70, 64, 3))}
+
+
+@pytest.mark.parametrize("kind", ["predictor", "cross", "green", "palette", "cache", "none"])
+def test_the_writer_chooses_and_both_readers_agree(kind, monkeypatch):
+    samples = (written_pictures()[kind] & 255).astype(np.uint8)
+    stored = media.write_webp(samples)
+    kinds, cached = transforms_of(stored)
+    assert kind in kinds if kind not in ("cache", "none") else cached == (kind == "cache") and not kinds
+    for few, window in ((0, 1 << 14), (0, 64), (1 << 30, 64)):  # side by side, over many windows, and symbol by symbol
+        monkeypatch.setattr(media, "FEW_PIXELS", few)
+        monkeypatch.setattr(media, "WINDOW", window)
+        assert (media._channels(media.WebpReader(stored).pixels())[..., 2::-1] == samples).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from([b"the ", b"cat", b"\n", b"sat on", b"  ", "é€".encode(), b"abc" * 40, b"\x00\xff"]), max_size=400))
+def test_both_readers_agree_on_texts(pieces):
+    payload = media.padded(b"".join(pieces))
+    stored = media.store(payload)
+    few, media.FEW_PIXELS = media.FEW_PIXELS, 1 << 30
+    try:
+        slow = media.restore(stored)
+    finally:
+        media.FEW_PIXELS = few
+    assert slow == media.restore(stored) == payload
+
+
+def test_a_cache_entry_that_was_never_written():
+    def put(out):
+        out.put(0, 1)
+        out.put(1, 1)
+        out.put(3, 4)
+        out.put(0, 1)
+        greens = out.code(balanced({7, 280, 285, 286}, 288))
+        red, blue, alpha = (out.code(balanced({k}, 256)) for k in (1, 2, 255))
+        out.code(balanced({0}, 40))
+        for green in [285, 7, 286, 280] * 25:
+            out.bits += greens[green]
+
+    data = file_of(10, 10, put)
+    fast = media.WebpReader(data).pixels()
+    written = [0] * 8
+    expected = []
+    for green in [285, 7, 286, 280] * 25:
+        expected.append(written[green - 280] if green > 255 else 0xFF010702)
+        written[(0x1E35A7BD * expected[-1] & 0xFFFFFFFF) >> 29] = expected[-1]
+    assert fast.ravel().tolist() == expected
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 1 << 40), min_size=2, max_size=40), st.integers(6, 15))
+def test_code_lengths(counts, longest):
+    lengths = media.code_lengths(np.array(counts), longest).tolist()
+    assert sum(2.0**-n for n in lengths) == 1 and max(lengths) <= longest
+    heap, cost = sorted(counts), 0
+    while len(heap) > 1:
+        both = heap[0] + heap[1]
+        cost += both
+        heap = sorted([*heap[2:], both])
+    free = media.code_lengths(np.array(counts), 60).tolist()
+    assert sum(n * c for n, c in zip(free, counts, strict=True)) == cost
+
+
+def test_payloads_beyond_the_tallest_picture_are_one_file():
+    payload = media.padded(random.Random(4).randbytes(50_000) * 79)
+    stored = media.store(payload)
+    assert struct.unpack_from("<I", stored, 4)[0] + 8 == len(stored)
+    reader = media.WebpReader(stored)
+    assert (reader.width, reader.alpha) == (128, 1) and media.restore(stored) == payload
+
+
+def test_features_by_hand():
+    data = random.Random(8).randbytes(192 * 11)
+    samples = np.frombuffer(data, np.uint8).reshape(-1, 64, 3)
+    told = media.features(samples).split(",")
+    of = [[data[k] for k in range(c, len(data), 3)] for c in range(3)]
+    means = [sum(x) / len(x) for x in of]
+    spreads = [(sum((v - m) ** 2 for v in x) / len(x)) ** 0.5 for x, m in zip(of, means, strict=True)]
+    assert [float(x) for x in told[:6]] == pytest.approx([*means, *spreads], abs=1e-3)
+    cells = []
+    for r in range(8):
+        first, last = r * 11 // 8, (r + 1) * 11 // 8
+        for c in range(8):
+            cells.append(sum(sum(data[192 * y + 24 * c : 192 * y + 24 * c + 24]) for y in range(first, last)) / (last - first))
+    flags = "".join("1" if x > sum(cells) / 64 else "0" for x in cells)
+    assert told[6] == f"{int(flags, 2):016x}"
+
+
 def test_media_columns(frame, corpus):
     rows = media.decode_media(media.encode_media(frame)).collect()
     assert Counter((r.doc_id, r.n_bytes, bytes(r.payload)) for r in rows) == Counter((i, len((t or "").encode()), media.padded((t or "").encode())) for i, t in corpus)

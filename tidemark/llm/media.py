@@ -1,22 +1,24 @@
 """Media columns: bytes stored as lossless WebP pictures and read back.
 
-``encode`` writes a payload as an RGB picture (three samples a pixel, 64 pixels a row) in the lossless WebP format,
-with prefix codes of one length over the values that occur. ``WebpReader`` decodes the whole format: prefix codes
-(simple, normal and meta codes), back-references, colour cache, and the predictor, cross-colour, subtract-green and
-palette transforms. Where every code of a group has one length and nothing but literals can occur, pixels are
-unpacked side by side as bits; any other stream goes symbol by symbol.
+``store`` writes a payload as one RGB picture (three samples a pixel, 64 pixels a row) in the lossless WebP format. For
+each picture the writer estimates what the palette, subtract-green, predictor and cross-colour transforms would save and
+applies those that do; then come back-references, a colour cache if it saves bits, and canonical prefix codes.
+``WebpReader`` decodes the whole format: prefix codes (simple, normal and meta codes), back-references, colour cache, and
+the inverse transforms. With one group of codes, what would begin at each bit is looked up for all bits of a window at
+once and the stream's chain is followed; pictures with meta codes and very small ones go symbol by symbol.
 
 Defined cases: a null or empty text becomes one row of spaces; equal texts give equal files; rows are independent, so
-repeated ids change nothing; long texts become pictures of at most ``TALLEST`` rows side by side in one RIFF file
-each, concatenated; an empty table gives no rows; other columns are never read.
+repeated ids change nothing; a payload of more than ``TALLEST`` rows becomes a wider picture whose last pixels, beyond
+the payload, are transparent (one file up to 768 MiB, beyond it files one after the other); an empty table gives no
+rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
-
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,19 @@ ROW_BYTES, WIDTH = 192, 64
 #: Largest height that the format's 14 bits hold.
 TALLEST = 1 << 14
 SIGNATURE = 0x2F
+#: A colour cache has to bring the bits down to this share: it makes codes larger and reading slower.
+CACHE_WORTH = 0.97
+#: Red and blue share one code unless codes of their own bring the bits below this share.
+SHARED_WORTH = 0.98
+EIGHT = np.arange(8, dtype=np.uint32)
+#: Pictures of fewer pixels are read symbol by symbol.
+FEW_PIXELS = 48
+#: Bytes of a stream that are looked up at once.
+WINDOW = 1 << 14
+#: Longest code that is written; the format allows 15.
+LONGEST = 12
+#: Pixels among which earlier copies are looked for, the shortest and longest copy, and the farthest.
+BLOCK, SHORTEST_COPY, LONGEST_COPY, FARTHEST = 1 << 18, 3, 4096, (1 << 20) - 120
 
 # Fixed values of the format: the order in which code length code lengths are stored, and the nearby offsets of distance codes.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -86,35 +101,48 @@ class Bits:
         self.read(bit & 7)
 
 
+@lru_cache(16)
+def _turned(size: int) -> np.ndarray:
+    """Every number of ``size`` bits with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(size):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols by (length, symbol), their lengths, the first place of each among codes of the longest length, and that length."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    sizes = lengths[used].astype(np.int64)
+    longest = int(sizes[-1])
+    shares = 1 << (longest - sizes)
+    return used, sizes, np.cumsum(shares) - shares, longest
+
+
 class PrefixCode:
     """A canonical prefix code, looked up by the next ``longest`` bits."""
 
     def __init__(self, lengths: list[int] | np.ndarray):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
-        self.uniform = None  # (bits, symbols by code) where all codes have one length
         if len(used) <= 1:
-            self.single, self.longest = int(used[0]) if len(used) else 0, 0
-            self.uniform = (0, np.array([self.single]))
+            self.single, self.longest, self.special = int(used[0]) if len(used) else 0, 0, used[used >= 256]
+            self.symbols, self.sizes = np.array([self.single], np.int32), np.zeros(1, np.int32)
             return
-        self.single, self.longest = None, int(lengths.max())
-        self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.longest)
-        code, filled = 0, 0
-        ordered = sorted(used.tolist(), key=lambda s: (lengths[s], s))
-        last = int(lengths[ordered[0]])
-        for symbol in ordered:
-            n = int(lengths[symbol])
-            code <<= n - last
-            last = n
-            turned = int(f"{code:0{n}b}"[::-1], 2)
-            for k in range(turned, 1 << self.longest, 1 << n):
-                self.table[k] = (symbol, n)
-                filled += 1
-            code += 1
-        if filled != 1 << self.longest or code != 1 << last:
+        self.single, self.special = None, used[used >= 256]
+        used, sizes, _, self.longest = _canonical(lengths)
+        shares = 1 << (self.longest - sizes)
+        if int(shares.sum()) != 1 << self.longest:
             raise WebpError("a prefix code is not complete")
-        if lengths[ordered[0]] == self.longest:
-            self.uniform = (self.longest, np.array([s for s, _ in self.table]))
+        turned = _turned(self.longest)
+        both = np.repeat(used << 4 | sizes, shares)[turned].astype(np.int32)
+        self.symbols, self.sizes = both >> 4, both & 15
+
+    @cached_property
+    def table(self) -> list[tuple[int, int]]:
+        """(symbol, length) by the next bits."""
+        return list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -143,25 +171,32 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
         left = 2 + bits.read(2 + 2 * bits.read(3))
         if left > size:
             raise WebpError("too many code lengths")
-    at, last = 0, 8
+    begin, at, last, used = bits.position(), 0, 8, 0
+    held = int.from_bytes(bits.data[begin >> 3 : (begin >> 3) + size * 7 // 8 + 8], "little") >> (begin & 7)  # at most 7 bits a length
+    mask, table = (1 << code.longest) - 1, code.table
     while at < size and left:
         left -= 1
-        symbol = code.read(bits)
+        symbol, n = table[held & mask]
+        held >>= n
+        used += n
         if symbol < 16:
             lengths[at] = symbol
             last = symbol or last
             at += 1
             continue
-        value, times = {16: (last, 3), 17: (0, 3), 18: (0, 11)}[symbol]
-        times += bits.read({16: 2, 17: 3, 18: 7}[symbol])
+        value, times, extra = (last, 3, 2) if symbol == 16 else (0, 3, 3) if symbol == 17 else (0, 11, 7)
+        times += held & ((1 << extra) - 1)
+        held >>= extra
+        used += extra
         if at + times > size:
             raise WebpError("code lengths run over")
         lengths[at : at + times] = [value] * times
         at += times
+    bits.seek(begin + used)
     return _code(bytes(lengths))
 
 
-@lru_cache(256)
+@lru_cache(64)
 def _code(lengths: bytes) -> PrefixCode:
     return PrefixCode(np.frombuffer(lengths, np.uint8))
 
@@ -235,8 +270,8 @@ class WebpReader:
             groups = int(meta.max()) + 1
         cache = 1 << cache_bits if cache_bits else 0
         codes = [[_read_code(bits, size) for size in (256 + 24 + cache, 256, 256, 256, 40)] for _ in range(groups)]
-        if groups == 1 and all(c.uniform for c in codes[0][:4]) and int(codes[0][0].uniform[1].max()) < 256:
-            return self._literals(codes[0], width * height).reshape(height, width)
+        if meta is None and width * height > FEW_PIXELS:
+            return self._side_by_side(codes[0], width, width * height, cache, cache_bits).reshape(height, width)
         out = [0] * (width * height)
         colours, shift, done = [0] * cache, 32 - cache_bits, 0
         cached = 0  # pixels that are in the cache already
@@ -252,12 +287,7 @@ class WebpReader:
                 done += 1
             elif green < 280:
                 length = _extra(bits, green - 256)
-                code = _extra(bits, group[4].read(bits))
-                if code > 120:
-                    distance = code - 120
-                else:
-                    dx, dy = NEARBY[code - 1]
-                    distance = max(1, dx + dy * width)
+                distance = _distance(_extra(bits, group[4].read(bits)), width)
                 if distance > done or done + length > total:
                     raise WebpError("a back-reference leaves the picture")
                 for k in range(done, done + length):
@@ -273,23 +303,175 @@ class WebpReader:
                 done += 1
         return np.array(out, np.uint32).reshape(height, width)
 
-    def _literals(self, group: list[PrefixCode], n: int) -> np.ndarray:
-        """All pixels at once, each of the same number of bits."""
-        sizes = [c.uniform[0] for c in group[:4]]
-        each, at = sum(sizes), self.bits.position()
-        raw = np.frombuffer(self.bits.data, np.uint8)[at >> 3 : (at + n * each + 7) >> 3]
-        if 8 * len(raw) < (at & 7) + n * each:
-            raise WebpError("the bit stream ends too early")
-        flags = np.unpackbits(raw, bitorder="little")[at & 7 : (at & 7) + n * each].reshape(n, each) if each else np.empty((n, 0), np.uint8)
-        out, first = np.zeros(n, np.uint32), 0
-        for code, size, shift in zip(group, sizes, (8, 16, 0, 24), strict=False):
-            index = np.zeros(n, np.uint16)
-            for byte in range(0, size, 8):
-                index |= np.packbits(flags[:, first + byte : first + min(size, byte + 8)], 1, "little")[:, 0].astype(np.uint16) << byte
-            first += size
-            out |= code.uniform[1].astype(np.uint32)[index] << np.uint32(shift)
-        self.bits.seek(at + n * each)
-        return out
+    def _side_by_side(self, group: list[PrefixCode], width: int, total: int, cache: int, cache_bits: int) -> np.ndarray:
+        """Pixels of one group of codes: what would begin at each bit of a window is looked up for all bits at once, the
+        chain of beginnings that the stream really takes is followed, and copies and cache entries are filled in."""
+        bits, raw = self.bits, np.frombuffer(self.bits.data, np.uint8)
+        filled = _Filled(total, cache, 32 - cache_bits)
+        at = bits.position()
+        while filled.done < total:
+            if at > 8 * len(raw):
+                raise WebpError("the bit stream ends too early")
+            part = np.zeros(min(WINDOW, len(raw) - (at >> 3)) + 24, np.uint32)
+            held = raw[at >> 3 : (at >> 3) + len(part)]
+            part[: len(held)] = held
+            four = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16 | part[3:] << 24
+            peek = (four[:, None] >> EIGHT).view(np.int32).ravel()  # 25 bits at least
+            bit = np.arange(len(peek), dtype=np.int32)
+            # where a code ends that begins at each bit; past the window's end the last bit stands for all
+            ends = [bit + c.sizes[peek & ((1 << c.longest) - 1)] if c.longest else bit for c in group[:4]]
+            then = lambda spot, k: ends[k].take(spot, mode="clip") if group[k].longest else spot  # noqa: B023, E731
+            green = group[0].symbols[peek & ((1 << group[0].longest) - 1)]
+            after = then(then(then(ends[0], 1), 2), 3)
+            lengths = distances = copying = np.empty(0, np.int64)
+            if len(group[0].special):
+                special = np.flatnonzero(green >= 256)
+                after[special] = ends[0][special]
+                copying = special[green[special] < 280]
+                lengths, spot = _extras(peek, ends[0][copying], green[copying] - 256)
+                next_code = peek.take(spot, mode="clip") & ((1 << group[4].longest) - 1)
+                distances, after[copying] = _extras(peek, spot + group[4].sizes[next_code], group[4].symbols[next_code])
+            last = len(peek) - 128  # a token that begins before lies in the window whole
+            after[last:] = 0
+            chain, base = after.data, at >> 3 << 3
+            here, begun = at - base, []
+            push = begun.append
+            for _ in range(total - filled.done):
+                following = chain[here]
+                if following <= here:  # the end of the window, or a token without any bits
+                    break
+                push(here)
+                here = following
+            else:
+                following = -1
+            if following == here and here < last:  # no code has more than one symbol: all that follows is the same
+                begun += [here] * (total - filled.done - len(begun))
+            spot = np.array(begun, np.int64)
+            symbol = green[spot]
+            if len(symbol) and int(symbol.max()) >= 280 + cache:
+                raise WebpError("no such cache entry")
+            copied = (symbol >= 256) & (symbol < 280)
+            which = np.searchsorted(copying, spot[copied])
+            length, distance = lengths[which], _distances(distances[which], width)
+            sizes = np.ones(len(symbol), np.int64)
+            sizes[copied] = length
+            reached = filled.done + np.cumsum(sizes)
+            used = int(np.searchsorted(reached, total)) + 1  # tokens up to the one that fills the picture
+            if used < len(symbol):
+                here = int(after[spot[used - 1]])
+                spot, symbol, sizes, copied, reached = (x[:used] for x in (spot, symbol, sizes, copied, reached))
+                length, distance = length[: copied.sum()], distance[: copied.sum()]
+            if len(reached) and (reached[-1] > total or (distance > (reached - sizes)[copied]).any()):
+                raise WebpError("a back-reference leaves the picture")
+            before = np.flatnonzero(copied) - np.arange(len(length))
+            at = base + here
+            spot, symbol = spot[~copied], symbol[~copied]
+            pixel, spot = symbol.astype(np.int64) << 8, ends[0][spot]
+            for k, shift in ((1, 16), (2, 0), (3, 24)):
+                pixel |= group[k].symbols[peek.take(spot, mode="clip") & ((1 << group[k].longest) - 1)].astype(np.int64) << shift
+                spot = then(spot, k)
+            filled.add(np.where(symbol < 256, pixel, 279 - symbol), before, length, distance)
+        bits.seek(at)
+        return filled.out
+
+
+def _extras(peek: np.ndarray, spot: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols and the extra bits at ``spot``, and where these end."""
+    n = np.maximum((symbol - 2) >> 1, 0)
+    extra = peek.take(spot, mode="clip") & ((1 << n) - 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << n) + extra + 1).astype(np.int64), spot + n
+
+
+def _distances(codes: np.ndarray, width: int) -> np.ndarray:
+    dx, dy = np.array([(0, 0), *NEARBY], np.int64)[np.where(codes > 120, 0, codes)].T
+    return np.where(codes > 120, codes - 120, np.maximum(1, dx + dy * width))
+
+
+class _Filled:
+    """Pixels as tokens tell them: a value, -1 - k for entry k of the colour cache, or a copy from further back.
+
+    Every pixel of a window points to where its value comes from: itself, or an earlier pixel; pointers are followed by
+    jumping until all have arrived."""
+
+    def __init__(self, total: int, cache: int, shift: int):
+        self.cache, self.shift, self.done = cache, shift, 0
+        self.out, self.entries = np.zeros(total, np.uint32), np.zeros(total if cache else 0, np.int16)
+        self.colours, self.written = np.zeros(cache, np.uint32), np.zeros(cache, bool)
+
+    def add(self, values: np.ndarray, before: np.ndarray, lengths: np.ndarray, distances: np.ndarray) -> None:
+        """The next pixels: values, and of each copy among them how many values stand before it."""
+        if not len(before) and not self.cache:
+            self.out[self.done : self.done + len(values)] = values
+            self.done += len(values)
+            return
+        n = len(values) + int(lengths.sum())
+        copied = np.repeat(before, lengths) + np.arange(n - len(values))
+        single = np.ones(n, bool)
+        single[copied] = False
+        told = np.zeros(n, np.int64)
+        told[single] = values
+        source = np.arange(n)
+        source[copied] -= np.repeat(distances, lengths)
+        far = copied[source[copied] < 0]  # from an earlier window
+        if len(far):
+            back = self.done + source[far]
+            told[far] = self.out[back]
+            source[far] = far
+        source = _arrived(source)
+        if self.cache:
+            self._from_cache(told, source, far, back if len(far) else None)
+        else:
+            self.out[self.done : self.done + n] = told[source]
+        self.done += n
+
+    def _from_cache(self, told: np.ndarray, source: np.ndarray, far: np.ndarray, back: np.ndarray | None) -> None:
+        own = np.where(told < 0, -1 - told, _entry(told.astype(np.uint32), self.shift))
+        if back is not None:
+            own[far] = self.entries[back]
+        while True:
+            entry = own[source]
+            order = np.argsort(entry.astype(np.int16), kind="stable")
+            begins = np.append(True, entry[order[1:]] != entry[order[:-1]])
+            earlier = np.empty_like(order)
+            earlier[order[1:]] = order[:-1]
+            first = order[begins]
+            earlier[first] = first
+            asks = told < 0
+            fresh = first[asks[first]]  # entries as earlier windows left them
+            never = fresh[~self.written[entry[fresh]]]
+            if not len(never):
+                break
+            told[never] = own[never] = 0  # the colour 0, which has an entry of its own
+        told[fresh] = self.colours[entry[fresh]]
+        asks[fresh] = False
+        source = _arrived(np.where(asks, earlier, source))
+        pixels = told[source].astype(np.uint32)
+        n = len(pixels)
+        self.out[self.done : self.done + n], self.entries[self.done : self.done + n] = pixels, entry
+        latest = order[np.append(begins[1:], True)] if n else order
+        self.colours[entry[latest]] = pixels[latest]
+        self.written[entry[latest]] = True
+
+
+def _arrived(source: np.ndarray) -> np.ndarray:
+    """Where pointers to earlier places end."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _entry(pixels: np.ndarray, shift: int) -> np.ndarray:
+    """Each pixel's entry in the colour cache."""
+    return (pixels * np.uint32(0x1E35A7BD) >> np.uint32(shift)).astype(np.int64)
+
+
+def _distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    dx, dy = NEARBY[code - 1]
+    return max(1, dx + dy * width)
 
 
 def _channels(image: np.ndarray) -> np.ndarray:
@@ -368,116 +550,459 @@ def _predicted(mode: int, left: tuple, top: tuple, top_left: tuple, top_right: t
 
 
 def _unpredict(image: np.ndarray, block: int, table: np.ndarray, width: int) -> np.ndarray:
-    modes = ((table >> 8) & 15).tolist()
-    rows = _channels(image).tolist()
-    above: list[tuple] = []
-    for y, row in enumerate(rows):
-        now: list[tuple] = []
-        for x, rest in enumerate(row):
-            if not y:
-                guess = now[x - 1] if x else (0, 0, 0, 255)
-            elif not x:
-                guess = above[0]
+    modes = (table >> 8) & 15
+    out = _channels(image).copy()
+    out[0, 0, 3:] -= np.uint8(1)  # the first pixel's guess is opaque black; bytes wrap round
+    out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.uint8)
+    for y in range(1, len(out)):
+        row = np.repeat(modes[y >> block], 1 << block)[:width]
+        if np.isin(row, BY_ROWS).all():
+            _unpredict_row(out[y], out[y - 1], row)
+        else:
+            _unpredict_pixels(out[y], out[y - 1], row.tolist())
+    return out.view(np.uint32)[..., 0]
+
+
+#: Predictors that need nothing of the same row but the pixel to the left.
+BY_ROWS = (0, 1, 2, 3, 4, 8, 9)
+
+
+def _from_above(mode: int, above: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Guesses for all pixels of rows but the first column; ``left`` holds the rows' first pixels."""
+    top, corner, right = above[..., 1:, :], above[..., :-1, :], np.concatenate([above[..., 2:, :], left], -2)
+    mean = lambda x, y: ((x.astype(np.uint16) + y) >> 1).astype(np.uint8)
+    match mode:
+        case 2:
+            return top
+        case 3:
+            return right
+        case 4:
+            return corner
+        case 8:
+            return mean(corner, top)
+        case 9:
+            return mean(top, right)
+    return np.broadcast_to(np.array([0, 0, 0, 255], np.uint8), top.shape)
+
+
+def _unpredict_row(row: np.ndarray, above: np.ndarray, modes: np.ndarray) -> None:
+    inner = modes[1:]
+    for mode in set(inner.tolist()) - {1}:
+        row[1:] += np.where((inner == mode)[:, None], _from_above(mode, above, row[:1]), 0).astype(np.uint8)
+    if (inner == 1).any():  # sums that begin anew after each pixel guessed from above
+        begins = np.flatnonzero(np.append(True, inner != 1))
+        sums = np.cumsum(row, 0, dtype=np.uint8)
+        before = sums[begins] - row[begins]
+        row[:] = sums - np.repeat(before, np.diff(np.append(begins, len(row))), 0)
+
+
+def _unpredict_pixels(row: np.ndarray, above: np.ndarray, modes: list[int]) -> None:
+    rest, up = row.tolist(), above.tolist()
+    now = [tuple(rest[0])]
+    for x in range(1, len(rest)):
+        right = up[x + 1] if x + 1 < len(rest) else now[0]
+        guess = _predicted(modes[x], now[x - 1], up[x], up[x - 1], right)
+        now.append(tuple((a + b) & 255 for a, b in zip(rest[x], guess, strict=True)))
+    row[:] = now
+
+
+def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Lengths of a prefix code of least cost for two or more counts above 0, none above ``longest``.
+
+    Two queues, of symbols by count and of joined nodes, give the tree; counts are halved until it is flat enough."""
+    used = np.flatnonzero(counts)
+    weights = counts[used]
+    while True:
+        order = np.argsort(weights, kind="stable")
+        queue, n = weights[order].tolist(), len(order)
+        endless = sum(queue) + 1
+        queue += [endless, endless]
+        joined, parent = [endless] * (n + 1), [0] * (2 * n)
+        leaf = node = 0
+        for k in range(n - 1):
+            x, y = queue[leaf], joined[node]
+            if x <= y:
+                parent[leaf] = k
+                leaf += 1
+                both, x = x, queue[leaf]
+            else:
+                parent[n + node] = k
+                node += 1
+                both, y = y, joined[node]
+            if x <= y:
+                parent[leaf] = k
+                leaf += 1
+                both += x
             else:
-                right = above[x + 1] if x + 1 < width else now[0]
-                guess = _predicted(modes[y >> block][x >> block], now[x - 1], above[x], above[x - 1], right)
-            now.append(tuple((a + b) & 255 for a, b in zip(rest, guess, strict=True)))
-        rows[y] = above = now
-    return np.array(rows, np.uint8).view(np.uint32)[..., 0]
+                parent[n + node] = k
+                node += 1
+                both += y
+            joined[k] = both
+        depth = [0] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[parent[n + k]] + 1
+        found = [depth[k] + 1 for k in parent[:n]]
+        if max(found) <= longest:
+            out = np.zeros(len(counts), np.int64)
+            out[used[order]] = found
+            return out
+        weights = (weights + 1) // 2
 
 
 class _Writer:
+    """Numbers of up to 64 bits, put together at the end."""
+
     def __init__(self):
-        self.value, self.held = 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.held
-        self.held += n
-
-
-def _put_uniform(out: _Writer, size: int, of: int) -> None:
-    """A normal code in which each of the first 2^size symbols has ``size`` bits; ``of``: length of the alphabet."""
-    used = 1 << size
-    # (code length symbol, extra value, extra bits): one length, repeats of it by threes to sixes, then zeros
-    runs, left = [(size, 0, 0)], used - 1
-    while left:
-        times = left if left <= 6 else min(6, left - 3)
-        runs.append((16, times - 3, 2))
-        left -= times
-    left = of - used
-    while left:
-        times = left if left <= 138 else min(138, left - 11)
-        runs.append((18, times - 11, 7))
-        left -= times
-    kinds = sorted({k for k, _, _ in runs})
-    lengths = {kinds[0]: 1, kinds[1]: 1} if len(kinds) == 2 else {kinds[0]: 1, kinds[1]: 2, kinds[2]: 2}
-    codes = {kinds[0]: 0, kinds[1]: 1} if len(kinds) == 2 else {kinds[0]: 0b0, kinds[1]: 0b01, kinds[2]: 0b11}  # turned round
-    out.put(0, 1)
-    count = 1 + max(CODE_LENGTH_ORDER.index(k) for k in kinds)
-    out.put(max(4, count) - 4, 4)
-    for k in CODE_LENGTH_ORDER[: max(4, count)]:
-        out.put(lengths.get(k, 0), 3)
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
+
+    def data(self) -> bytes:
+        self.put_all(np.empty(0, np.uint64), np.empty(0, np.int64))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        values, sizes = values[sizes > 0], sizes[sizes > 0]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        word, shift = starts >> 6, (starts & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
+        out[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+        return out.tobytes()[: -(-int(ends[-1]) // 8)]
+
+
+@lru_cache(4096)
+def _run_tokens(value: int, n: int) -> tuple[tuple[int, int, int], ...]:
+    """(code length symbol, extra value, extra bits) for a run of one length."""
+    tokens = []
+    if value:
+        tokens.append((value, 0, 0))
+        n -= 1
+    while n >= 3:
+        some = min(n, 138 if not value else 6)
+        tokens.append((16, some - 3, 2) if value else (18, some - 11, 7) if some > 10 else (17, some - 3, 3))
+        n -= some
+    return (*tokens, *[(value, 0, 0)] * n)
+
+
+def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    begins = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    runs = map(_run_tokens, lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist())
+    return list(itertools.chain.from_iterable(runs))
+
+
+def _put_code(out: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for the counted symbols; returns its bits and lengths by symbol."""
+    used = np.flatnonzero(counts)
+    bits, lengths = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        symbols = used.tolist() or [0]
+        out.put(1 | (len(symbols) - 1) << 1, 2)
+        out.put(*((symbols[0] << 1, 2) if symbols[0] < 2 else (symbols[0] << 1 | 1, 9)))
+        if len(symbols) == 2:
+            out.put(symbols[1], 8)
+            bits[symbols[1]], lengths[used] = 1, 1
+        return bits, lengths
+    lengths = code_lengths(counts, LONGEST)
+    symbols, _, first, longest = _canonical(lengths)
+    bits[symbols] = _turned(longest)[first].astype(np.uint64)
+    tokens = _length_tokens(lengths)
+    kinds = np.bincount([k for k, _, _ in tokens], minlength=19)
+    if np.count_nonzero(kinds) == 1:
+        kinds[(tokens[0][0] + 1) % 16] = 1
+    of_kinds = code_lengths(kinds, 7)
+    ordered, _, first, longest = _canonical(of_kinds)
+    turned = dict(zip(ordered.tolist(), _turned(longest)[first].tolist(), strict=True))
+    sizes = of_kinds.tolist()
+    held = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]))
+    out.put((held - 4) << 1, 5)
+    out.values += [sizes[s] for s in CODE_LENGTH_ORDER[:held]]
+    out.sizes += [3] * held
     out.put(0, 1)  # all lengths follow
-    for k, value, n in runs:
-        out.put(codes[k], lengths[k])
-        out.put(value, n)
+    out.values += [turned[kind] | extra << sizes[kind] for kind, extra, _ in tokens]
+    out.sizes += [sizes[kind] + n for kind, _, n in tokens]
+    return bits, lengths
 
 
-@lru_cache(2)
-def _codes_of(size: int) -> tuple[int, int]:
-    """The bits between picture size and pixels: no transform, no cache, one group of uniform codes."""
-    out = _Writer()
-    out.put(0, 3)
-    for of in (280, 256, 256):
-        _put_uniform(out, size, of)
-    out.put(0b1, 1)  # alpha and distance: a simple code of one symbol each
-    out.put(0b10, 2)
-    out.put(255, 8)
-    out.put(0b0001, 4)
-    return out.value, out.held
+CHANNEL = np.array([0, 256, 512, 768], np.int64)
 
 
-def write_webp(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of RGB samples [height, width, 3], in 7 bits a sample where no sample needs 8."""
-    height, width, _ = samples.shape
-    size = 8 if samples.max() > 127 else 7
-    head = _Writer()
-    head.put(SIGNATURE, 8)
-    head.put(width - 1, 14)
-    head.put(height - 1, 14)
-    head.put(0, 4)  # no alpha; version 0
-    head.put(*_codes_of(size))
-    codes = samples.reshape(-1, 3)[:, [1, 0, 2]]  # green, red, blue; a code is its symbol, most significant bit first
-    flags = np.unpackbits(codes.ravel()).reshape(-1, 8)[:, 8 - size :].ravel()
-    first = np.unpackbits(np.frombuffer(head.value.to_bytes(-(-head.held // 8), "little"), np.uint8), bitorder="little")[: head.held]
-    body = np.packbits(np.concatenate([first, flags]), bitorder="little").tobytes()
+def _counts(channels: np.ndarray) -> np.ndarray:
+    """How often each value occurs, a row for each of blue, green, red and alpha."""
+    return np.bincount((channels.reshape(-1, 4) + CHANNEL).ravel(), minlength=1024).reshape(4, 256)
+
+
+def _cost(counts: np.ndarray) -> float:
+    """Bits of symbols counted in rows, each row under a code of its own, and some for each symbol that a code names."""
+    some, totals = counts[counts > 0].astype(np.float64), np.maximum(counts.sum(-1), 1)
+    return float((totals * np.log2(totals)).sum() - (some * np.log2(some)).sum()) + 5 * len(some)
+
+
+def _picture_cost(channels: np.ndarray) -> float:
+    """Bits of the three colour channels."""
+    return _cost(_counts(channels)[:3])
+
+
+def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that stand before, from left to right: the latest place with the same three pixels."""
+    found, free = [], 0
+    for block in range(0, len(pixels), BLOCK):
+        part = pixels[block : block + BLOCK]
+        if len(part) <= SHORTEST_COPY:
+            continue
+        wide = part.astype(np.uint64)
+        key = (wide[:-2] | wide[1:-1] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        later, earlier = order[1:][same], order[:-1][same]
+        by_place = np.argsort(later)
+        for i, j in zip(later[by_place].tolist(), earlier[by_place].tolist(), strict=True):
+            if block + i < free:
+                continue
+            length, ahead = 0, 16
+            most = min(LONGEST_COPY, len(part) - i)
+            while length < most:
+                n = min(ahead, most - length)
+                differ = part[i + length : i + length + n] != part[j + length : j + length + n]
+                agreed = int(differ.argmax()) if differ.any() else n
+                length += agreed
+                if agreed < n:
+                    break
+                ahead *= 4
+            if length >= SHORTEST_COPY and i - j <= FARTHEST:
+                found.append((block + i, length, i - j))
+                free = block + i + length
+    return found
+
+
+def _hits(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Which pixels stand in the colour cache when their turn comes."""
+    entry = _entry(pixels, 32 - cache_bits)
+    order = np.argsort(entry.astype(np.int16), kind="stable")
+    hits = np.zeros(len(pixels), bool)
+    hits[order[1:]] = (entry[order[1:]] == entry[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return hits
+
+
+def _prefixed(value: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their number, of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    n = (value - 1).bit_length() - 2
+    return 2 * n + ((value - 1) >> n & 1) + 2, (value - 1) & ((1 << n) - 1), n
+
+
+def _put_image(out: _Writer, image: np.ndarray, main: bool = False) -> None:
+    """Entropy-coded pixels: back-references, then a colour cache if that saves bits."""
+    width, pixels = image.shape[1], np.ascontiguousarray(image).ravel()
+    channels = pixels.view(np.uint8).reshape(-1, 4)
+    copies = _copies(pixels)
+    single = np.ones(len(pixels), bool)
+    for at, length, _ in copies:
+        single[at : at + length] = False
+    place = np.flatnonzero(single)
+    single = channels[place]
+    blue, green, red, alpha = single.T.astype(np.int64)
+    cache_bits = max(1, min(10, len(pixels).bit_length() - 2))
+    hit = _hits(pixels, cache_bits)[place]
+    symbol, counted = green, _counts(single)
+    greens = counted[1]
+    if hit.any():
+        with_cache = np.where(hit, 280 + _entry(pixels[place], 32 - cache_bits), green)
+        fewer, more = _counts(single[~hit]), np.bincount(with_cache)
+        if _cost(fewer[[0, 2, 3]]) + _cost(more) < CACHE_WORTH * _cost(counted):
+            symbol, counted, greens = with_cache, fewer, more
+        else:
+            hit = np.zeros(len(place), bool)
+    cache_bits = cache_bits if hit.any() else 0
+    out.put(1 | cache_bits << 1, 5) if cache_bits else out.put(0, 1)
+    if main:
+        out.put(0, 1)  # one group of codes
+    told = [(256 + a, b, n, c, d, m) for (a, b, n), (c, d, m) in ((_prefixed(x), _prefixed(1 if y == width else 2 if y == 1 else y + 120)) for _, x, y in copies)]
+    length_symbol, length_extra, length_size, far_symbol, far_extra, far_size = np.array(told, np.int64).reshape(-1, 6).T
+    counts = np.bincount(length_symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))
+    counts[: len(greens)] += greens
+    reds, blues, alphas, far = counted[2], counted[0], counted[3], np.bincount(far_symbol, minlength=40)
+    if _cost(counted[[0, 2]]) > SHARED_WORTH * (_cost(reds + blues) + 5 * np.count_nonzero(reds + blues)):
+        reds = blues = reds + blues
+    codes = [_put_code(out, counts)]
+    first = len(out.values)
+    codes.append(_put_code(out, reds))
+    if reds is blues:
+        codes.append(codes[1])
+        out.values += out.values[first:]
+        out.sizes += out.sizes[first:]
+    else:
+        codes.append(_put_code(out, blues))
+    codes += [_put_code(out, alphas), _put_code(out, far)]
+    values, sizes = codes[0][0][symbol], codes[0][1][symbol]
+    for (bits, lengths), x in zip(codes[1:4], (red, blue, alpha), strict=True):
+        if lengths.any():
+            values |= np.where(hit, np.uint64(0), bits[x]) << sizes.astype(np.uint64)
+            sizes = sizes + np.where(hit, 0, lengths[x])
+    if copies:
+        also, size = codes[0][0][length_symbol], codes[0][1][length_symbol]
+        for x, n in ((length_extra.astype(np.uint64), length_size), (codes[4][0][far_symbol], codes[4][1][far_symbol]), (far_extra.astype(np.uint64), far_size)):
+            also |= x << size.astype(np.uint64)
+            size = size + n
+        order = np.argsort(np.concatenate([place, [at for at, _, _ in copies]]), kind="stable")
+        values, sizes = np.concatenate([values, also])[order], np.concatenate([sizes, size])[order]
+    out.put_all(values, sizes)
+
+
+def _guesses(image: np.ndarray, mode: int) -> np.ndarray:
+    """What the predictor says for every pixel, with the first row's and column's own rules."""
+    out = np.empty_like(image)
+    out[0, 0] = (0, 0, 0, 255)
+    out[0, 1:] = image[0, :-1]
+    out[1:, 0] = image[:-1, 0]
+    out[1:, 1:] = image[1:, :-1] if mode == 1 else _from_above(mode, image[:-1], image[1:, :1])
+    return out
+
+
+def _predict(channels: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """What remains after the best predictor of each block, and the table of predictors."""
+    height, width, _ = channels.shape
+    rest = np.stack([channels - _guesses(channels, mode) for mode in BY_ROWS])
+    far = np.abs(rest.view(np.int8).astype(np.int64)).sum(3)
+    far = np.add.reduceat(np.add.reduceat(far, np.arange(0, height, 1 << block), 1), np.arange(0, width, 1 << block), 2)
+    best = far.argmin(0)
+    chosen = np.repeat(np.repeat(best, 1 << block, 0)[:height], 1 << block, 1)[:, :width]
+    table = np.array(BY_ROWS, np.uint32)[best] << np.uint32(8) | np.uint32(0xFF000000)
+    return np.take_along_axis(rest, chosen[None, ..., None], 0)[0], table
+
+
+def _cross(channels: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Red less a share of green, blue less shares of green and red, and these shares in 32nds, by least squares."""
+    blue, green, red = channels.reshape(-1, 4)[:, :3].T.astype(np.uint8).view(np.int8).astype(np.float64)
+    share = lambda x, y: int(np.clip(round(32 * float((x * y).sum()) / max(1.0, float((y * y).sum()))), -128, 127))
+    to_red, to_blue = share(red, green), share(blue, green)
+    red_blue = share(blue - to_blue / 32 * green, red)
+    if not (to_red or to_blue or red_blue):
+        return channels, (0, 0, 0)
+    blue, green, red = (np.ascontiguousarray(channels[..., k]).view(np.int8).astype(np.int64) for k in range(3))
+    out = channels.copy()
+    out[..., 2] = (red - (to_red * green >> 5)).astype(np.uint8)
+    out[..., 0] = (blue - (to_blue * green >> 5) - (red_blue * red >> 5)).astype(np.uint8)
+    return out, (to_red, to_blue, red_blue)
+
+
+#: Sides of the blocks that share a predictor, or the shares of cross-colour, as powers of two.
+PREDICTED, CROSSED = 4, 9
+
+
+def _put_palette(out: _Writer, image: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """Writes the palette; returns the picture of its indices, several in a pixel for few colours."""
+    out.put(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
+    table = colours.view(np.uint8).reshape(-1, 4)
+    _put_image(out, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).view(np.uint32).reshape(1, -1))
+    index = np.searchsorted(colours, image)
+    packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    each = 1 << packed
+    wide = np.zeros((len(index), _shrunk(index.shape[1], packed) * each), np.int64)
+    wide[:, : index.shape[1]] = index
+    joined = (wide.reshape(len(index), -1, each) << (np.arange(each) * (8 >> packed))).sum(2)
+    return joined.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+
+
+def _put_transforms(out: _Writer, image: np.ndarray) -> np.ndarray:
+    """Writes the transforms that are estimated to save bits; returns the picture that they leave."""
+    channels = _channels(image)
+    least = _picture_cost(channels)
+    colours, times = np.unique(image, return_counts=True)
+    if len(colours) <= 256 and 24 * len(colours) + _cost(times) < least:
+        return _put_palette(out, image, colours)
+    if any(_picture_cost(channels - _guesses(channels, mode)) < least for mode in (1, 2)):
+        rest, table = _predict(channels, PREDICTED)
+        if (cost := _picture_cost(rest) + 4 * table.size) < least:
+            out.put(1 | (PREDICTED - 2) << 3, 6)
+            _put_image(out, table)
+            channels, least = rest, cost
+    less_green = channels.copy()
+    less_green[..., 0] -= channels[..., 1]
+    less_green[..., 2] -= channels[..., 1]
+    green_cost = _picture_cost(less_green)
+    crossed, shares = _cross(channels)
+    if any(shares) and _picture_cost(crossed) + 32 < min(least, green_cost):
+        out.put(1 | 1 << 1 | (CROSSED - 2) << 3, 6)
+        to_red, to_blue, red_blue = (x & 255 for x in shares)
+        _put_image(out, np.full((_shrunk(len(image), CROSSED), _shrunk(image.shape[1], CROSSED)), 255 << 24 | red_blue << 16 | to_blue << 8 | to_red, np.uint32))
+        channels = crossed
+    elif green_cost < least:
+        out.put(1 | 2 << 1, 3)
+        channels = less_green
+    return np.ascontiguousarray(channels).view(np.uint32)[..., 0]
+
+
+def write_pixels(image: np.ndarray) -> bytes:
+    """A lossless WebP file of 32-bit ARGB pixels [height, width]."""
+    out = _Writer()
+    out.put(SIGNATURE, 8)
+    out.put(image.shape[1] - 1, 14)
+    out.put(image.shape[0] - 1, 14)
+    out.put(int((image >> np.uint32(24)).min() < 255), 4)  # alpha is used; version 0
+    image = _put_transforms(out, image)
+    out.put(0, 1)
+    _put_image(out, image, main=True)
+    body = out.data()
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
 
 
+def write_webp(samples: np.ndarray) -> bytes:
+    """A lossless WebP file of RGB samples [height, width, 3]."""
+    pixels = np.full((*samples.shape[:2], 4), 255, np.uint8)
+    pixels[..., :3] = samples[..., ::-1]
+    return write_pixels(pixels.view(np.uint32)[..., 0])
+
+
 def padded(data: bytes) -> bytes:
     """Spaces appended up to a positive multiple of a row."""
     return data + b" " * (-len(data) % ROW_BYTES if data else ROW_BYTES)
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as one picture, or several behind each other if it is taller than the format allows."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(write_webp(samples[k : k + TALLEST]) for k in range(0, len(samples), TALLEST))
+    """The payload as one picture; as several behind each other if it has more pixels than the format allows."""
+    if len(payload) > 3 * TALLEST * TALLEST:
+        return b"".join(store(payload[k : k + 3 * TALLEST * TALLEST]) for k in range(0, len(payload), 3 * TALLEST * TALLEST))
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, 3)
+    across = WIDTH
+    while len(samples) > across * TALLEST:
+        across *= 2
+    pixels = np.zeros((-(-len(samples) // across) * across, 4), np.uint8)  # transparent beyond the payload
+    pixels[: len(samples), :3] = samples[:, ::-1]
+    pixels[: len(samples), 3] = 255
+    return write_pixels(pixels.view(np.uint32).reshape(-1, across))
 
 
 def pictures(media: bytes) -> Iterator[np.ndarray]:
-    """The RGB samples of each picture in the file."""
+    """Red, green, blue and alpha of each picture in the file."""
     at = 0
     while at < len(media):
         size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        pixels = _channels(WebpReader(media[at : at + size]).pixels())
-        yield pixels[..., 2::-1]
+        yield _channels(WebpReader(media[at : at + size]).pixels())[..., [2, 1, 0, 3]]
         at += size
 
 
 def restore(media: bytes) -> bytes:
-    return b"".join(p.tobytes() for p in pictures(media))
+    """The payload: the samples of all pixels that aren't transparent."""
+    found = []
+    for picture in pictures(media):
+        shown = picture.reshape(-1, 4)
+        found.append(np.ascontiguousarray(shown[shown[:, 3] > 0, :3]).tobytes())
+    return b"".join(found)
 
 
 def features(samples: np.ndarray) -> str:
