@@ -16,7 +16,9 @@ rows; other columns are never read.
 from __future__ import annotations
 
 import itertools
+import math
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -43,6 +45,8 @@ FEW_PIXELS = 48
 WINDOW = 1 << 14
 #: Longest code that is written; the format allows 15.
 LONGEST = 12
+#: Bits of a key that hold a place in a block.
+PLACE = np.uint64((1 << 18) - 1)
 #: Pixels among which earlier copies are looked for, the shortest and longest copy, and the farthest.
 BLOCK, SHORTEST_COPY, LONGEST_COPY, FARTHEST = 1 << 18, 3, 4096, (1 << 20) - 120
 
@@ -128,7 +132,7 @@ class PrefixCode:
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
             self.single, self.longest, self.special = int(used[0]) if len(used) else 0, 0, used[used >= 256]
-            self.symbols, self.sizes = np.array([self.single], np.int32), np.zeros(1, np.int32)
+            self.symbols, self.sizes = np.array([self.single]), np.zeros(1, np.int64)
             return
         self.single, self.special = None, used[used >= 256]
         used, sizes, _, self.longest = _canonical(lengths)
@@ -136,7 +140,7 @@ class PrefixCode:
         if int(shares.sum()) != 1 << self.longest:
             raise WebpError("a prefix code is not complete")
         turned = _turned(self.longest)
-        both = np.repeat(used << 4 | sizes, shares)[turned].astype(np.int32)
+        both = np.repeat(used << 4 | sizes, shares)[turned]
         self.symbols, self.sizes = both >> 4, both & 15
 
     @cached_property
@@ -165,7 +169,7 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
     of_lengths = [0] * 19
     for k in range(bits.read(4) + 4):
         of_lengths[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = _code(bytes(of_lengths))
+    table, longest = _small_code(tuple(of_lengths))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
@@ -173,7 +177,7 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
             raise WebpError("too many code lengths")
     begin, at, last, used = bits.position(), 0, 8, 0
     held = int.from_bytes(bits.data[begin >> 3 : (begin >> 3) + size * 7 // 8 + 8], "little") >> (begin & 7)  # at most 7 bits a length
-    mask, table = (1 << code.longest) - 1, code.table
+    mask = (1 << longest) - 1
     while at < size and left:
         left -= 1
         symbol, n = table[held & mask]
@@ -196,6 +200,19 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
     return _code(bytes(lengths))
 
 
+@lru_cache(1024)
+def _small_code(lengths: tuple[int, ...]) -> tuple[list[tuple[int, int]], int]:
+    """(symbol, length) by the next bits of a code of a few symbols, and how many bits that are."""
+    longest = max(lengths)
+    ordered = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(ordered) <= 1:
+        return [(ordered[0][1] if ordered else 0, 0)], 0
+    places = [(s, n) for n, s in ordered for _ in range(1 << longest - n)]
+    if len(places) != 1 << longest:
+        raise WebpError("a prefix code is not complete")
+    return [places[k] for k in _turned(longest).tolist()], longest
+
+
 @lru_cache(64)
 def _code(lengths: bytes) -> PrefixCode:
     return PrefixCode(np.frombuffer(lengths, np.uint8))
@@ -316,12 +333,12 @@ class WebpReader:
             held = raw[at >> 3 : (at >> 3) + len(part)]
             part[: len(held)] = held
             four = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16 | part[3:] << 24
-            peek = (four[:, None] >> EIGHT).view(np.int32).ravel()  # 25 bits at least
-            bit = np.arange(len(peek), dtype=np.int32)
+            peek = (four[:, None] >> EIGHT).ravel().astype(np.int64)  # 25 bits at least
+            bit = np.arange(len(peek))
             # where a code ends that begins at each bit; past the window's end the last bit stands for all
-            ends = [bit + c.sizes[peek & ((1 << c.longest) - 1)] if c.longest else bit for c in group[:4]]
+            ends = [bit + c.sizes.take(peek & ((1 << c.longest) - 1), mode="clip") if c.longest else bit for c in group[:4]]
             then = lambda spot, k: ends[k].take(spot, mode="clip") if group[k].longest else spot  # noqa: B023, E731
-            green = group[0].symbols[peek & ((1 << group[0].longest) - 1)]
+            green = group[0].symbols.take(peek & ((1 << group[0].longest) - 1), mode="clip")
             after = then(then(then(ends[0], 1), 2), 3)
             lengths = distances = copying = np.empty(0, np.int64)
             if len(group[0].special):
@@ -366,9 +383,9 @@ class WebpReader:
             before = np.flatnonzero(copied) - np.arange(len(length))
             at = base + here
             spot, symbol = spot[~copied], symbol[~copied]
-            pixel, spot = symbol.astype(np.int64) << 8, ends[0][spot]
+            pixel, spot = symbol << 8, ends[0][spot]
             for k, shift in ((1, 16), (2, 0), (3, 24)):
-                pixel |= group[k].symbols[peek.take(spot, mode="clip") & ((1 << group[k].longest) - 1)].astype(np.int64) << shift
+                pixel |= group[k].symbols.take(peek.take(spot, mode="clip") & ((1 << group[k].longest) - 1), mode="clip") << shift
                 spot = then(spot, k)
             filled.add(np.where(symbol < 256, pixel, 279 - symbol), before, length, distance)
         bits.seek(at)
@@ -608,16 +625,22 @@ def _unpredict_pixels(row: np.ndarray, above: np.ndarray, modes: list[int]) -> N
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
-    """Lengths of a prefix code of least cost for two or more counts above 0, none above ``longest``.
-
-    Two queues, of symbols by count and of joined nodes, give the tree; counts are halved until it is flat enough."""
+    """Lengths of a prefix code of least cost for two or more counts above 0, none above ``longest``."""
+    out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     weights = counts[used]
+    order = np.argsort(weights, kind="stable")
+    out[used[order]] = _tree(weights[order].tolist(), longest)
+    return out
+
+
+def _tree(weights: list[int], longest: int) -> list[int]:
+    """Depths of ascending weights in a tree of least cost, by two queues, of weights and of joined nodes; the weights
+    are halved until it is flat enough."""
+    n = len(weights)
     while True:
-        order = np.argsort(weights, kind="stable")
-        queue, n = weights[order].tolist(), len(order)
-        endless = sum(queue) + 1
-        queue += [endless, endless]
+        endless = sum(weights) + 1
+        queue = [*weights, endless, endless]
         joined, parent = [endless] * (n + 1), [0] * (2 * n)
         leaf = node = 0
         for k in range(n - 1):
@@ -644,10 +667,8 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
             depth[k] = depth[parent[n + k]] + 1
         found = [depth[k] + 1 for k in parent[:n]]
         if max(found) <= longest:
-            out = np.zeros(len(counts), np.int64)
-            out[used[order]] = found
-            return out
-        weights = (weights + 1) // 2
+            return found
+        weights = [(w + 1) // 2 for w in weights]
 
 
 class _Writer:
@@ -719,13 +740,18 @@ def _put_code(out: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     symbols, _, first, longest = _canonical(lengths)
     bits[symbols] = _turned(longest)[first].astype(np.uint64)
     tokens = _length_tokens(lengths)
-    kinds = np.bincount([k for k, _, _ in tokens], minlength=19)
-    if np.count_nonzero(kinds) == 1:
+    kinds = Counter([k for k, _, _ in tokens])
+    if len(kinds) == 1:
         kinds[(tokens[0][0] + 1) % 16] = 1
-    of_kinds = code_lengths(kinds, 7)
-    ordered, _, first, longest = _canonical(of_kinds)
-    turned = dict(zip(ordered.tolist(), _turned(longest)[first].tolist(), strict=True))
-    sizes = of_kinds.tolist()
+    ordered = sorted(kinds, key=lambda k: (kinds[k], k))
+    sizes = [0] * 19
+    for k, n in zip(ordered, _tree([kinds[k] for k in ordered], 7), strict=True):
+        sizes[k] = n
+    longest = max(sizes)
+    turned, place, reverse = {}, 0, _turned(longest)
+    for n, k in sorted((n, k) for k, n in enumerate(sizes) if n):
+        turned[k] = int(reverse[place])
+        place += 1 << longest - n
     held = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]))
     out.put((held - 4) << 1, 5)
     out.values += [sizes[s] for s in CODE_LENGTH_ORDER[:held]]
@@ -750,9 +776,20 @@ def _cost(counts: np.ndarray) -> float:
     return float((totals * np.log2(totals)).sum() - (some * np.log2(some)).sum()) + 5 * len(some)
 
 
-def _picture_cost(channels: np.ndarray) -> float:
-    """Bits of the three colour channels."""
-    return _cost(_counts(channels)[:3])
+def _picture_costs(*versions: np.ndarray) -> list[float]:
+    """Estimated bits of each version of one picture, whose channels count as one alphabet."""
+    values = np.stack(versions).reshape(len(versions), -1, 4)[..., :3].astype(np.int64)
+    values += np.arange(0, 256 * len(versions), 256)[:, None, None]
+    counts = np.bincount(values.ravel(), minlength=256 * len(versions)).reshape(-1, 256)
+    total = values.shape[1] * 3
+    return (total * np.log2(total) - (counts * np.log2(np.maximum(counts, 1))).sum(1) + 15 * np.count_nonzero(counts, 1)).tolist()
+
+
+def _less_green(channels: np.ndarray) -> np.ndarray:
+    out = channels.copy()
+    out[..., 0] -= channels[..., 1]
+    out[..., 2] -= channels[..., 1]
+    return out
 
 
 def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
@@ -764,8 +801,9 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
             continue
         wide = part.astype(np.uint64)
         key = (wide[:-2] | wide[1:-1] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
+        key = np.sort(key & ~PLACE | np.arange(len(key), dtype=np.uint64))  # the hash's high bits and the place
+        order, key = (key & PLACE).astype(np.int64), key & ~PLACE
+        same = key[1:] == key[:-1]
         later, earlier = order[1:][same], order[:-1][same]
         by_place = np.argsort(later)
         for i, j in zip(later[by_place].tolist(), earlier[by_place].tolist(), strict=True):
@@ -885,11 +923,23 @@ def _predict(channels: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cross(channels: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
-    """Red less a share of green, blue less shares of green and red, and these shares in 32nds, by least squares."""
-    blue, green, red = channels.reshape(-1, 4)[:, :3].T.astype(np.uint8).view(np.int8).astype(np.float64)
-    share = lambda x, y: int(np.clip(round(32 * float((x * y).sum()) / max(1.0, float((y * y).sum()))), -128, 127))
-    to_red, to_blue = share(red, green), share(blue, green)
-    red_blue = share(blue - to_blue / 32 * green, red)
+    """Red less a share of green, blue less shares of green and red, and these shares in 32nds, by least squares. Shares
+    that explain so little that their table would cost more are 0."""
+    signed = channels.reshape(-1, 4).view(np.int8).astype(np.float32)
+    signed[:, 3] = 1
+    n, products = len(signed), np.zeros((4, 4))
+    for k in range(0, n, 1 << 14):  # sums that single precision holds
+        part = signed[k : k + (1 << 14)]
+        products += part.T @ part
+    products /= n
+    blue, green, red = (products - np.outer(products[3], products[3]))[:3].tolist()  # covariances
+
+    def share(both: float, own: float, other: float) -> int:
+        explained = min(both * both / (own * other), 0.999) if own * other > 0 else 0.0
+        return min(127, max(-128, round(32 * both / own))) if -n / 2 * math.log2(1 - explained) > TABLE_BITS else 0
+
+    to_red, to_blue = share(red[1], green[1], red[2]), share(blue[1], green[1], blue[0])
+    red_blue = share(blue[2] - to_blue / 32 * green[2], red[2], blue[0])
     if not (to_red or to_blue or red_blue):
         return channels, (0, 0, 0)
     blue, green, red = (np.ascontiguousarray(channels[..., k]).view(np.int8).astype(np.int64) for k in range(3))
@@ -899,6 +949,8 @@ def _cross(channels: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
     return out, (to_red, to_blue, red_blue)
 
 
+#: Bits that a transform's table of one pixel takes.
+TABLE_BITS = 64
 #: Sides of the blocks that share a predictor, or the shares of cross-colour, as powers of two.
 PREDICTED, CROSSED = 4, 9
 
@@ -920,22 +972,25 @@ def _put_palette(out: _Writer, image: np.ndarray, colours: np.ndarray) -> np.nda
 def _put_transforms(out: _Writer, image: np.ndarray) -> np.ndarray:
     """Writes the transforms that are estimated to save bits; returns the picture that they leave."""
     channels = _channels(image)
-    least = _picture_cost(channels)
-    colours, times = np.unique(image, return_counts=True)
-    if len(colours) <= 256 and 24 * len(colours) + _cost(times) < least:
-        return _put_palette(out, image, colours)
-    if any(_picture_cost(channels - _guesses(channels, mode)) < least for mode in (1, 2)):
+    less_green, (crossed, shares) = _less_green(channels), _cross(channels)
+    left, top = channels.copy(), channels.copy()  # but for the rules of the edges
+    left[:, 1:] -= channels[:, :-1]
+    top[1:] -= channels[:-1]
+    least, green_cost, *guessed, cross_cost = _picture_costs(channels, less_green, left, top, crossed)
+    ordered = np.sort(image, axis=None)
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    if len(begins) <= 256 and 24 * len(begins) + _cost(np.diff(np.append(begins, len(ordered)))) < min(least, _cost(_counts(channels)[:3])):
+        return _put_palette(out, image, ordered[begins])
+    if min(guessed) < least:
         rest, table = _predict(channels, PREDICTED)
-        if (cost := _picture_cost(rest) + 4 * table.size) < least:
+        rest_green, (rest_crossed, rest_shares) = _less_green(rest), _cross(rest)
+        costs = _picture_costs(rest, rest_green, rest_crossed)
+        if costs[0] + 4 * table.size < least:
             out.put(1 | (PREDICTED - 2) << 3, 6)
             _put_image(out, table)
-            channels, least = rest, cost
-    less_green = channels.copy()
-    less_green[..., 0] -= channels[..., 1]
-    less_green[..., 2] -= channels[..., 1]
-    green_cost = _picture_cost(less_green)
-    crossed, shares = _cross(channels)
-    if any(shares) and _picture_cost(crossed) + 32 < min(least, green_cost):
+            channels, less_green, crossed, shares = rest, rest_green, rest_crossed, rest_shares
+            least, green_cost, cross_cost = costs
+    if any(shares) and cross_cost + TABLE_BITS < min(least, green_cost):
         out.put(1 | 1 << 1 | (CROSSED - 2) << 3, 6)
         to_red, to_blue, red_blue = (x & 255 for x in shares)
         _put_image(out, np.full((_shrunk(len(image), CROSSED), _shrunk(image.shape[1], CROSSED)), 255 << 24 | red_blue << 16 | to_blue << 8 | to_red, np.uint32))
