@@ -38,6 +38,8 @@ SIGNATURE = 0x2F
 CACHE_WORTH = 0.97
 #: Red and blue share one code unless codes of their own bring the bits below this share.
 SHARED_WORTH = 0.98
+#: A transform has to bring the estimated bits down to this share.
+TRANSFORM_WORTH = 0.98
 EIGHT = np.arange(8, dtype=np.uint32)
 #: Pictures of fewer pixels are read symbol by symbol.
 FEW_PIXELS = 48
@@ -448,7 +450,7 @@ class _Filled:
         while True:
             entry = own[source]
             order = np.argsort(entry.astype(np.int16), kind="stable")
-            begins = np.append(True, entry[order[1:]] != entry[order[:-1]])
+            begins = _new(entry[order])
             earlier = np.empty_like(order)
             earlier[order[1:]] = order[:-1]
             first = order[begins]
@@ -671,6 +673,21 @@ def _tree(weights: list[int], longest: int) -> list[int]:
         weights = [(w + 1) // 2 for w in weights]
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    begins = np.flatnonzero(_new(x))
+    ends = np.empty_like(begins)
+    ends[:-1], ends[-1:] = begins[1:], len(x)
+    return begins, ends - begins
+
+
 class _Writer:
     """Numbers of up to 64 bits, put together at the end."""
 
@@ -697,7 +714,7 @@ class _Writer:
         starts = ends - sizes
         word, shift = starts >> 6, (starts & 63).astype(np.uint64)
         out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        first = np.flatnonzero(_new(word))
         out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
         over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
         out[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
@@ -719,8 +736,8 @@ def _run_tokens(value: int, n: int) -> tuple[tuple[int, int, int], ...]:
 
 
 def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    begins = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
-    runs = map(_run_tokens, lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist())
+    begins, sizes = _runs(lengths)
+    runs = map(_run_tokens, lengths[begins].tolist(), sizes.tolist())
     return list(itertools.chain.from_iterable(runs))
 
 
@@ -827,10 +844,9 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _hits(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     """Which pixels stand in the colour cache when their turn comes."""
-    entry = _entry(pixels, 32 - cache_bits)
-    order = np.argsort(entry.astype(np.int16), kind="stable")
-    hits = np.zeros(len(pixels), bool)
-    hits[order[1:]] = (entry[order[1:]] == entry[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    order = np.argsort(_entry(pixels, 32 - cache_bits).astype(np.int16), kind="stable")
+    hits = np.empty(len(pixels), bool)
+    hits[order] = ~_new(pixels[order])  # equal pixels have equal entries
     return hits
 
 
@@ -978,24 +994,24 @@ def _put_transforms(out: _Writer, image: np.ndarray) -> np.ndarray:
     top[1:] -= channels[:-1]
     least, green_cost, *guessed, cross_cost = _picture_costs(channels, less_green, left, top, crossed)
     ordered = np.sort(image, axis=None)
-    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    if len(begins) <= 256 and 24 * len(begins) + _cost(np.diff(np.append(begins, len(ordered)))) < min(least, _cost(_counts(channels)[:3])):
+    begins, times = _runs(ordered)
+    if len(begins) <= 256 and 24 * len(begins) + _cost(times) < min(least, _cost(_counts(channels)[:3])):
         return _put_palette(out, image, ordered[begins])
-    if min(guessed) < least:
+    if min(guessed) < TRANSFORM_WORTH * least:
         rest, table = _predict(channels, PREDICTED)
         rest_green, (rest_crossed, rest_shares) = _less_green(rest), _cross(rest)
         costs = _picture_costs(rest, rest_green, rest_crossed)
-        if costs[0] + 4 * table.size < least:
+        if costs[0] + 4 * table.size < TRANSFORM_WORTH * least:
             out.put(1 | (PREDICTED - 2) << 3, 6)
             _put_image(out, table)
             channels, less_green, crossed, shares = rest, rest_green, rest_crossed, rest_shares
             least, green_cost, cross_cost = costs
-    if any(shares) and cross_cost + TABLE_BITS < min(least, green_cost):
+    if any(shares) and cross_cost + TABLE_BITS < min(TRANSFORM_WORTH * least, green_cost):
         out.put(1 | 1 << 1 | (CROSSED - 2) << 3, 6)
         to_red, to_blue, red_blue = (x & 255 for x in shares)
         _put_image(out, np.full((_shrunk(len(image), CROSSED), _shrunk(image.shape[1], CROSSED)), 255 << 24 | red_blue << 16 | to_blue << 8 | to_red, np.uint32))
         channels = crossed
-    elif green_cost < least:
+    elif green_cost < TRANSFORM_WORTH * least:
         out.put(1 | 2 << 1, 3)
         channels = less_green
     return np.ascontiguousarray(channels).view(np.uint32)[..., 0]
