@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -465,3 +466,66 @@ def test_rebalancing_moves_little(spark, tmp_path):
 
 def test_empty(empty):
     assert media.encode_media(empty).collect() == [] and sharding.shard_rows(empty, 4)[0].collect() == []
+
+
+def many_payloads():
+    """Payloads of all kinds of choices: texts, noise, runs, few colours, smooth, grey and related channels, recurring colours."""
+    rng = random.Random(11)
+    words, pool = ["the ", "cat", "\n", "sat on", "  ", "é€", "abc" * 40, "\0\0\0"], [rng.randbytes(3) for _ in range(700)]
+    out = []
+    for k in range(30):
+        n = rng.choice([0, 1, 100, 700, 3000])
+        noise = rng.randbytes(n)
+        out += [
+            "".join(rng.choices(words, k=n // 3)).encode(), "".join(rng.choices(words[:4], k=n // 9)).encode(), noise, bytes(n), b"ab" * n,
+            bytes((i * 3 + rng.randrange(2)) & 255 for i in range(n)), b"".join(bytes([g, g, g ^ k & 1]) for g in noise),
+            b"".join(bytes([(g * 3 // 4) & 255, g & 255, (-g // 4) & 255]) for g in (x - 256 if x > 127 else x for x in noise)),
+            b"".join(pool[int(rng.paretovariate(0.8)) % 700] for _ in noise), bytes(rng.choices(b"abc", k=n)),
+        ]
+    return [media.padded(x) for x in out]
+
+
+@pytest.mark.parametrize(("few", "written", "read"), [(32, 1 << 18, 1 << 21), (1, 1 << 12, 1 << 13), (1, 1, 1), (1 << 30, 1 << 18, 1 << 21)])
+def test_pictures_together_are_those_written_and_read_alone(few, written, read, monkeypatch):
+    payloads = many_payloads()
+    alone = [media.store(x) for x in payloads]
+    assert {kind for x in alone for kind in (*transforms_of(x)[0], transforms_of(x)[1])} == {"predictor", "cross", "green", "palette", True, False}
+    for name, value in (("FEW_STREAMS", few), ("WRITTEN_TOGETHER", written), ("TOGETHER_ALL", read)):
+        monkeypatch.setattr(media, name, value)
+    assert media.store_all(payloads) == alone and media.restore_all(alone) == payloads
+    assert media.store_all(payloads[::-1]) == alone[::-1] and media.store_all([]) == media.restore_all([]) == []
+
+
+def test_many_pictures_take_less_time_together():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+    payloads = [media.padded(" ".join(words[int(rng.paretovariate(0.7)) % 3000] for _ in range(300)).encode()) for _ in range(400)]
+    stored = [media.store(x) for x in payloads]
+
+    def seconds(run):
+        times = []
+        for _ in range(2):
+            begin = time.process_time()
+            run()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert seconds(lambda: media.store_all(payloads)) < 0.8 * seconds(lambda: [media.store(x) for x in payloads])
+    assert seconds(lambda: media.restore_all(stored)) < 0.8 * seconds(lambda: [media.restore(x) for x in stored])
+
+
+def test_together_reads_other_writers_files_and_refuses_broken_ones(monkeypatch):
+    monkeypatch.setattr(media, "FEW_STREAMS", 1)
+    rng, files, shown = random.Random(7), [], []
+    for k in range(60):
+        cache_bits, width, height = k % 12, rng.randint(1, 20), rng.randint(1, 9)
+        pixels = picture(rng, width, height, 20 if k % 3 else None)
+        files.append(file_of(width, height, lambda out: (out.put(0, 1), put_image(out, pixels, True, cache_bits, k % 2 > 0))))  # noqa: B023
+        shown.append(b"".join(bytes([p >> 16 & 255, p >> 8 & 255, p & 255]) for p in pixels if p >> 24))
+    assert media.restore_all(files) == shown == [media.restore(x) for x in files]
+    whole = media.store(media.padded(bytes(range(256)) * 9))
+    for cut in (40, 200, len(whole) // 2, len(whole) - 40):
+        body = whole[20:cut] + b"\0" * (cut & 1)
+        broken = b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+        with pytest.raises(media.WebpError):
+            media.restore_all([*files, broken])

@@ -5,7 +5,9 @@ each picture the writer estimates what the palette, subtract-green, predictor an
 applies those that do; then come back-references, a colour cache if it saves bits, and canonical prefix codes.
 ``WebpReader`` decodes the whole format: prefix codes (simple, normal and meta codes), back-references, colour cache, and
 the inverse transforms. With one group of codes, what would begin at each bit is looked up for all bits of a window at
-once and the stream's chain is followed; pictures with meta codes and very small ones go symbol by symbol.
+once and the stream's chain is followed; pictures with meta codes and very small ones go symbol by symbol. ``restore_all``
+reads many files at once: a code length, and then a token, of every stream at a step; ``store_all`` writes the pictures
+that take no transform at once, each as ``store`` would alone.
 
 Defined cases: a null or empty text becomes one row of spaces; equal texts give equal files; rows are independent, so
 repeated ids change nothing; a payload of more than ``TALLEST`` rows becomes a wider picture whose last pixels, beyond
@@ -43,12 +45,17 @@ TRANSFORM_WORTH = 0.98
 EIGHT = np.arange(8, dtype=np.uint32)
 #: Pictures of fewer pixels are read symbol by symbol.
 FEW_PIXELS = 48
+#: Pictures that are read a token of each at a time: the fewest, the most pixels of one and of all, the most.
+FEW_STREAMS, TOGETHER, TOGETHER_ALL, MOST_STREAMS = 32, 1 << 15, 1 << 21, 1 << 12
+#: Pixels of pictures that are written at once.
+WRITTEN_TOGETHER = 1 << 18
 #: Bytes of a stream that are looked up at once.
 WINDOW = 1 << 14
 #: Longest code that is written; the format allows 15.
 LONGEST = 12
-#: Bits of a key that hold a place in a block.
-PLACE = np.uint64((1 << 18) - 1)
+#: Bits of a key that hold a place among pixels.
+PLACE_BITS = 21
+PLACE = np.uint64((1 << PLACE_BITS) - 1)
 #: Pixels among which earlier copies are looked for, the shortest and longest copy, and the farthest.
 BLOCK, SHORTEST_COPY, LONGEST_COPY, FARTHEST = 1 << 18, 3, 4096, (1 << 20) - 120
 
@@ -66,6 +73,15 @@ NEARBY = [
 ]
 
 
+# By symbol: how often a code length comes at least, and in how many bits it is told how much more often; the least length
+# or distance, and the bits that are added to it.
+LENGTH_TIMES = np.array([1] * 16 + [3, 3, 11])
+LENGTH_EXTRA = np.array([0] * 16 + [2, 3, 7])
+PREFIX_BITS = np.maximum((np.arange(40) - 2) >> 1, 0)
+PREFIX_MASK = (1 << PREFIX_BITS) - 1
+PREFIX_BASE = np.where(np.arange(40) < 4, np.arange(40) + 1, ((2 + (np.arange(40) & 1)) << PREFIX_BITS) + 1)
+
+
 class WebpError(ValueError):
     """The bytes are not a lossless WebP picture."""
 
@@ -253,6 +269,11 @@ class WebpReader:
             raise WebpError("unknown version")
 
     def pixels(self) -> np.ndarray:
+        self.begin()
+        return self.finished(self._image(self.inner, self.height, main=True))
+
+    def begin(self) -> None:
+        """Reads the transforms, and with them the main picture's width."""
         transforms, seen, width = [], set(), self.width
         while self.bits.read(1):
             kind = self.bits.read(2)
@@ -271,11 +292,25 @@ class WebpReader:
                 packed = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
                 transforms.append((kind, packed, table, width))
                 width = _shrunk(width, packed)
-        out = self._image(width, self.height, main=True)
-        for kind, block, table, width in reversed(transforms):
+        self.transforms, self.inner = transforms, width
+
+    def finished(self, out: np.ndarray) -> np.ndarray:
+        """The picture, from the pixels that the transforms left."""
+        for kind, block, table, width in reversed(self.transforms):
             out = (_unpredict, _uncross, _add_green, _unpalette)[kind](out, block, table, width)
         return out
 
+    def one_group(self) -> bool:
+        """Reads the main picture's head, if one group of codes follows; ``cache_bits`` is told then."""
+        begin = self.bits.position()
+        self.cache_bits = self.bits.read(4) if self.bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise WebpError("the colour cache is too large")
+        if not self.bits.read(1):
+            return True
+        self.bits.seek(begin)
+        return False
+
     def _image(self, width: int, height: int, main: bool = False) -> np.ndarray:
         bits = self.bits
         cache_bits = bits.read(4) if bits.read(1) else 0
@@ -394,6 +429,226 @@ class WebpReader:
         return filled.out
 
 
+class _Streams:
+    """The main pictures of many readers with one group of codes each, read a token of each at a time."""
+
+    def __init__(self, readers: list[WebpReader]):
+        self.readers = readers
+        sizes = np.array([len(r.bits.data) for r in readers], np.int64)
+        self.ends = 8 * np.cumsum(sizes)
+        raw = np.frombuffer(b"".join([*(r.bits.data for r in readers), b"\0" * 16]), np.uint8)
+        #: The 64 bits from each byte on.
+        self.words = np.ndarray(len(raw) - 7, "<i8", raw, 0, (1,)).copy()
+        self.at = self.ends - 8 * sizes + [r.bits.position() for r in readers]
+
+    def _peek(self, at: np.ndarray) -> np.ndarray:
+        """57 bits at least."""
+        return self.words.take(at >> 3, mode="clip") >> (at & 7)
+
+    def _lengths(self, sizes: np.ndarray) -> np.ndarray:
+        """The next code of every stream: a row of code lengths for each, of alphabets of some sizes."""
+        out, seen = np.zeros((len(sizes), int(sizes.max())), np.uint8), self._peek(self.at)
+        simple = np.flatnonzero(seen & 1)
+        value = seen[simple]
+        two, wide = value >> 1 & 1, value >> 2 & 1
+        first, then = value >> 3 & np.where(wide, 255, 1), np.where(wide, 11, 4)
+        second = np.where(two, value >> then & 255, first)
+        if (np.maximum(first, second) >= sizes[simple]).any():
+            raise WebpError("no such symbol")
+        out[simple, first] = out[simple, second] = 1
+        self.at[simple] += then + 8 * two
+        normal = np.flatnonzero(seen & 1 == 0)
+        if len(normal):
+            self._normal_lengths(out, normal, sizes[normal])
+        return out
+
+    def _normal_lengths(self, out: np.ndarray, stream: np.ndarray, size: np.ndarray) -> None:
+        at = self.at[stream]
+        held = (self._peek(at) >> 1 & 15) + 4
+        at += 5
+        of_lengths = np.zeros((len(stream), 19), np.uint8)
+        for k, symbol in enumerate(CODE_LENGTH_ORDER):
+            of_lengths[:, symbol] = np.where(k < held, self._peek(at + 3 * k) & 7, 0)
+        at += 3 * held
+        table, begins, longest = _tables(of_lengths)
+        seen = self._peek(at)
+        some, n = seen & 1, 2 + 2 * (seen >> 1 & 7)
+        left = np.where(some, 2 + (seen >> 4 & (1 << n) - 1), size)
+        at += 1 + some * (3 + n)
+        if (left > size).any():
+            raise WebpError("too many code lengths")
+        # rows: the stream, where its bits and its lengths are, the last length but 0, lengths told yet, alphabet, and its table
+        state = np.stack([stream, at, np.zeros_like(at), np.full_like(at, 8), left, size, begins, (1 << longest) - 1])
+        told = []
+        while state.shape[1]:
+            stream, at, place, last, left, size, begin, mask = state
+            seen = self._peek(at)
+            entry = table.take(begin + (seen & mask))
+            symbol, n = entry >> 4, entry & 15
+            extra = LENGTH_EXTRA.take(symbol)
+            times = LENGTH_TIMES.take(symbol) + (seen >> n & (1 << extra) - 1)
+            value = np.where(symbol < 16, symbol, np.where(symbol == 16, last, 0))
+            told.append(np.stack([stream, place, times, value]))
+            np.copyto(last, symbol, where=(symbol > 0) & (symbol < 16))
+            at += n + extra
+            place += times
+            left -= 1
+            going = (place < size) & (left > 0)
+            if not going.all():
+                if (place > size).any():
+                    raise WebpError("code lengths run over")
+                self.at[stream] = at
+                state = state[:, going]
+        stream, place, times, value = np.concatenate(told, 1)
+        kept = value > 0
+        first, times, value = (stream * out.shape[1] + place)[kept], times[kept], value[kept]
+        out.ravel()[_spans(first, times)] = np.repeat(value, times)
+
+    def pixels(self) -> list[np.ndarray | None]:
+        """Pixels of each stream as the transforms left them; None where codes are too long together, and for the few
+        streams that were left over."""
+        n = len(self.readers)
+        cache_bits = np.array([r.cache_bits for r in self.readers], np.int64)
+        tables, codes, before = [], [], 0
+        for size in (280 + np.where(cache_bits > 0, 1 << cache_bits, 0), *(np.full(n, x) for x in (256, 256, 256, 40))):
+            table, begins, longest = _tables(self._lengths(size))
+            tables.append(table)
+            codes.append((begins + before, longest))
+            before += len(table)
+        bits = np.stack([longest for _, longest in codes])
+        totals = np.array([r.inner * r.height for r in self.readers], np.int64)
+        order = np.argsort(cache_bits > 0, kind="stable")  # those with a colour cache last
+        base = np.empty(n, np.int64)
+        base[order] = np.cumsum(totals[order]) - totals[order]
+        value = np.zeros(int(totals.sum()), np.int64)
+        # in 64 bits of the table: a symbol where the pixel has it, above 8 bits for lengths, so that entries add up
+        parts = [tables[k].astype(np.int64) >> 4 << shift + 8 | tables[k] & 15 for k, shift in enumerate((8, 16, 0, 24))]
+        table = np.concatenate([*parts, tables[4].astype(np.int64)])
+        varied = [k for k in (1, 2, 3) if bits[k].any()]
+        same = sum(table[codes[k][0]] for k in (1, 2, 3) if k not in varied)
+        # rows: the stream, where its bits and its pixels are, its last pixel's end, and its codes' tables
+        state = np.stack([np.arange(n), self.at, base, base + totals, *(x for begins, longest in codes for x in (begins, (1 << longest) - 1))])
+        state = state[:, (bits[:4].sum(0) <= 57) & (bits[0] + bits[4] <= 57 - 10 - 18)]
+        copies, read = [np.zeros((4, 0), np.int64)], np.zeros(n, bool)
+        while state.shape[1] >= FEW_STREAMS:
+            stream, at, place, end, *codes = state
+            seen = self._peek(at)
+            green = table.take(codes[0] + (seen & codes[1]))
+            seen >>= green & 15
+            special = (green >= 256 << 16).nonzero()[0]
+            rest, pixel = seen.take(special), green.copy()
+            for k in varied:
+                entry = table.take(codes[2 * k] + (seen & codes[2 * k + 1]))
+                pixel += entry
+                entry &= 15
+                seen >>= entry
+            if len(special):
+                symbol = green.take(special)
+                size = symbol & 15
+                symbol >>= 16
+                cached = 279 - symbol << 8
+                copied = (symbol < 280).nonzero()[0]
+                if len(copied):
+                    cached[copied] = 0
+                    which, rest, symbol = special.take(copied), rest.take(copied), symbol.take(copied) - 256
+                    more = PREFIX_BITS.take(symbol)
+                    length = PREFIX_BASE.take(symbol) + (rest & PREFIX_MASK.take(symbol))
+                    rest >>= more
+                    entry = table.take(codes[8].take(which) + (rest & codes[9].take(which)))
+                    symbol = entry >> 4
+                    entry &= 15
+                    rest >>= entry
+                    distance = PREFIX_BASE.take(symbol) + (rest & PREFIX_MASK.take(symbol))
+                    size[copied] += more + entry + PREFIX_BITS.take(symbol)
+                    copies.append(np.array((stream.take(which), place.take(which), length, distance)))
+                pixel[special] = cached | size
+            value[place] = pixel
+            at += pixel & 255
+            place += 1
+            if len(special) and len(copied):
+                place[which] += length - 1
+            going = place < end
+            if not going.all():
+                over = stream[~going]
+                read[over] = True
+                if (at[~going] > self.ends[over]).any():
+                    raise WebpError("the bit stream ends too early")
+                state = state.take(going.nonzero()[0], 1)
+        value >>= 8
+        if varied != [1, 2, 3]:
+            np.add(value, np.repeat(same[order] >> 8, totals[order]), out=value, where=value >= 0)
+        return self._filled(value, np.concatenate(copies, 1), base, totals, read, cache_bits)
+
+    def _filled(self, value: np.ndarray, copies: np.ndarray, base: np.ndarray, totals: np.ndarray, read: np.ndarray, cache_bits: np.ndarray) -> list[np.ndarray | None]:
+        """The pictures: copies and what the colour caches held are looked up for all pixels at once."""
+        stream, place, length, code = copies[:, read[copies[0]]]
+        distance = _distances(code, np.array([r.inner for r in self.readers])[stream])
+        if (distance > place - base[stream]).any() or (place + length > (base + totals)[stream]).any():
+            raise WebpError("a back-reference leaves the picture")
+        source = np.arange(len(value))
+        source[_spans(place, length)] -= np.repeat(distance, length)
+        source = _arrived(source)
+        cached = np.flatnonzero(cache_bits)
+        first = len(value) - int(totals[cached].sum())
+        out = np.empty(len(value), np.uint32)
+        out[:first] = value[source[:first]]
+        if len(cached):
+            which, shift = (np.repeat(x, totals[cached]) for x in (np.arange(len(cached), dtype=np.uint16), 32 - cache_bits[cached]))
+            out[first:] = _with_caches(value[first:], source[first:] - first, which, shift)
+        return [out[at : at + n].reshape(r.height, r.inner) if k else None for r, at, n, k in zip(self.readers, base.tolist(), totals.tolist(), read.tolist(), strict=True)]
+
+
+def _with_caches(told: np.ndarray, source: np.ndarray, stream: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Pixels of whole streams: -1 - k asks for entry k of the stream's colour cache, and ``source`` is where a copy comes from."""
+    own = np.where(told < 0, -1 - told, _entry(told.astype(np.uint32), shift))
+    asks = told < 0
+    while True:
+        entry = own[source]
+        order = np.argsort(entry.astype(np.int16), kind="stable")
+        order = order[np.argsort(stream[order], kind="stable")]
+        begins = _new((entry | stream.astype(np.int64) << 11)[order])
+        earlier = np.empty_like(order)
+        earlier[order[1:]] = order[:-1]
+        first = order[begins]
+        earlier[first] = first
+        never = first[asks[first]]
+        if not len(never):
+            return told[_arrived(np.where(asks, earlier, source))]
+        told[never] = own[never] = 0  # the colour 0, which has an entry of its own
+        asks[never] = False
+
+
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, a row of lengths each: symbol << 4 | length by the next bits, where each code's part begins, and how
+    many bits it takes. A code of one symbol takes none."""
+    row, symbol = np.nonzero(lengths)
+    size, times = lengths[row, symbol].astype(np.int64), np.bincount(row, minlength=len(lengths))
+    longest = lengths.max(1).astype(np.int64)
+    few = times <= 1
+    if few.any():
+        longest[few] = size[few[row]] = 0
+        none = np.flatnonzero(times == 0)  # as if of symbol 0 alone
+        row, symbol, size = (np.concatenate([x, y]) for x, y in ((row, none), (symbol, 0 * none), (size, 0 * none)))
+    order = np.argsort((row << 4 | size).astype(np.int32), kind="stable")
+    row, symbol, size = row[order], symbol[order], size[order]
+    shares = 1 << longest[row] - size
+    if (np.bincount(row, shares) != 1 << longest).any():
+        raise WebpError("a prefix code is not complete")
+    placed = np.repeat((symbol << 4 | size).astype(np.int32), shares)
+    begins = np.cumsum(1 << longest) - (1 << longest)
+    out = np.empty_like(placed)
+    for bits in np.flatnonzero(np.bincount(longest)).tolist():
+        begin = begins[longest == bits, None]
+        out[begin + np.arange(1 << bits)] = placed[begin + _turned(bits)]
+    return out, begins, longest
+
+
 def _extras(peek: np.ndarray, spot: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths or distances from their prefix symbols and the extra bits at ``spot``, and where these end."""
     n = np.maximum((symbol - 2) >> 1, 0)
@@ -711,14 +966,18 @@ class _Writer:
         values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         values, sizes = values[sizes > 0], sizes[sizes > 0]
         ends = np.cumsum(sizes)
-        starts = ends - sizes
-        word, shift = starts >> 6, (starts & 63).astype(np.uint64)
-        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(_new(word))
-        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-        over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
-        out[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
-        return out.tobytes()[: -(-int(ends[-1]) // 8)]
+        return _packed(values, ends - sizes, (int(ends[-1]) >> 6) + 1)[: -(-int(ends[-1]) // 8)]
+
+
+def _packed(values: np.ndarray, starts: np.ndarray, n_words: int) -> bytes:
+    """Numbers at their places, in bits, from left to right."""
+    word, shift = starts >> 6, (starts & 63).astype(np.uint64)
+    out = np.zeros(n_words + 1, np.uint64)
+    first = np.flatnonzero(_new(word))
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
+    out[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+    return out.tobytes()
 
 
 @lru_cache(4096)
@@ -787,19 +1046,30 @@ def _counts(channels: np.ndarray) -> np.ndarray:
     return np.bincount((channels.reshape(-1, 4) + CHANNEL).ravel(), minlength=1024).reshape(4, 256)
 
 
+#: n * log2(n) in 256ths of a bit. Whole numbers add up to the same sums in any order.
+ENTROPY = np.rint(256 * np.arange(1 << 17) * np.log2(np.maximum(np.arange(1 << 17), 1))).astype(np.int64)
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    if counts.size and int(counts.max()) >= len(ENTROPY):
+        return np.rint(256 * counts * np.log2(np.maximum(counts, 1))).astype(np.int64)
+    return ENTROPY.take(counts)
+
+
+def _costs(counts: np.ndarray, each: int = 5) -> np.ndarray:
+    """Bits of the symbols counted in each row, under a code of its own, and some for each symbol that the code names."""
+    return (_entropy(counts.sum(-1)) - _entropy(counts).sum(-1)) / 256 + each * np.count_nonzero(counts, -1)
+
+
 def _cost(counts: np.ndarray) -> float:
-    """Bits of symbols counted in rows, each row under a code of its own, and some for each symbol that a code names."""
-    some, totals = counts[counts > 0].astype(np.float64), np.maximum(counts.sum(-1), 1)
-    return float((totals * np.log2(totals)).sum() - (some * np.log2(some)).sum()) + 5 * len(some)
+    return float(_costs(counts).sum())
 
 
 def _picture_costs(*versions: np.ndarray) -> list[float]:
     """Estimated bits of each version of one picture, whose channels count as one alphabet."""
     values = np.stack(versions).reshape(len(versions), -1, 4)[..., :3].astype(np.int64)
     values += np.arange(0, 256 * len(versions), 256)[:, None, None]
-    counts = np.bincount(values.ravel(), minlength=256 * len(versions)).reshape(-1, 256)
-    total = values.shape[1] * 3
-    return (total * np.log2(total) - (counts * np.log2(np.maximum(counts, 1))).sum(1) + 15 * np.count_nonzero(counts, 1)).tolist()
+    return _costs(np.bincount(values.ravel(), minlength=256 * len(versions)).reshape(-1, 256), 15).tolist()
 
 
 def _less_green(channels: np.ndarray) -> np.ndarray:
@@ -809,6 +1079,27 @@ def _less_green(channels: np.ndarray) -> np.ndarray:
     return out
 
 
+def _three(pixels: np.ndarray) -> np.ndarray:
+    """By place a hash of three pixels, in its high bits, and the place."""
+    wide = pixels.astype(np.uint64)
+    key = (wide[:-2] | wide[1:-1] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return key & ~PLACE | np.arange(len(key), dtype=np.uint64)
+
+
+def _agreed(pixels: np.ndarray, i: int, j: int, most: int) -> int:
+    """How many pixels from two places on are the same."""
+    length, ahead = 0, 16
+    while length < most:
+        n = min(ahead, most - length)
+        differ = pixels[i + length : i + length + n] != pixels[j + length : j + length + n]
+        agreed = int(differ.argmax()) if differ.any() else n
+        length += agreed
+        if agreed < n:
+            break
+        ahead *= 4
+    return length
+
+
 def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, distance) of stretches that stand before, from left to right: the latest place with the same three pixels."""
     found, free = [], 0
@@ -816,9 +1107,7 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
         part = pixels[block : block + BLOCK]
         if len(part) <= SHORTEST_COPY:
             continue
-        wide = part.astype(np.uint64)
-        key = (wide[:-2] | wide[1:-1] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        key = np.sort(key & ~PLACE | np.arange(len(key), dtype=np.uint64))  # the hash's high bits and the place
+        key = np.sort(_three(part))
         order, key = (key & PLACE).astype(np.int64), key & ~PLACE
         same = key[1:] == key[:-1]
         later, earlier = order[1:][same], order[:-1][same]
@@ -826,16 +1115,7 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
         for i, j in zip(later[by_place].tolist(), earlier[by_place].tolist(), strict=True):
             if block + i < free:
                 continue
-            length, ahead = 0, 16
-            most = min(LONGEST_COPY, len(part) - i)
-            while length < most:
-                n = min(ahead, most - length)
-                differ = part[i + length : i + length + n] != part[j + length : j + length + n]
-                agreed = int(differ.argmax()) if differ.any() else n
-                length += agreed
-                if agreed < n:
-                    break
-                ahead *= 4
+            length = _agreed(part, i, j, min(LONGEST_COPY, len(part) - i))
             if length >= SHORTEST_COPY and i - j <= FARTHEST:
                 found.append((block + i, length, i - j))
                 free = block + i + length
@@ -938,24 +1218,25 @@ def _predict(channels: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(rest, chosen[None, ..., None], 0)[0], table
 
 
-def _cross(channels: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
-    """Red less a share of green, blue less shares of green and red, and these shares in 32nds, by least squares. Shares
-    that explain so little that their table would cost more are 0."""
-    signed = channels.reshape(-1, 4).view(np.int8).astype(np.float32)
-    signed[:, 3] = 1
-    n, products = len(signed), np.zeros((4, 4))
-    for k in range(0, n, 1 << 14):  # sums that single precision holds
-        part = signed[k : k + (1 << 14)]
-        products += part.T @ part
-    products /= n
-    blue, green, red = (products - np.outer(products[3], products[3]))[:3].tolist()  # covariances
+def _shares(products: np.ndarray, n: int) -> tuple[int, int, int]:
+    """Of green in red, green in blue and red in blue, from the sums of products of blue, green, red and 1 over n pixels."""
+    means = products / n
+    blue, green, red = (means - np.outer(means[3], means[3]))[:3].tolist()  # covariances
 
     def share(both: float, own: float, other: float) -> int:
         explained = min(both * both / (own * other), 0.999) if own * other > 0 else 0.0
         return min(127, max(-128, round(32 * both / own))) if -n / 2 * math.log2(1 - explained) > TABLE_BITS else 0
 
     to_red, to_blue = share(red[1], green[1], red[2]), share(blue[1], green[1], blue[0])
-    red_blue = share(blue[2] - to_blue / 32 * green[2], red[2], blue[0])
+    return to_red, to_blue, share(blue[2] - to_blue / 32 * green[2], red[2], blue[0])
+
+
+def _cross(channels: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Red less a share of green, blue less shares of green and red, and these shares in 32nds, by least squares. Shares
+    that explain so little that their table would cost more are 0."""
+    signed = channels.reshape(-1, 4).view(np.int8).astype(np.float64)
+    signed[:, 3] = 1
+    to_red, to_blue, red_blue = _shares(signed.T @ signed, len(signed))
     if not (to_red or to_blue or red_blue):
         return channels, (0, 0, 0)
     blue, green, red = (np.ascontiguousarray(channels[..., k]).view(np.int8).astype(np.int64) for k in range(3))
@@ -1027,7 +1308,10 @@ def write_pixels(image: np.ndarray) -> bytes:
     image = _put_transforms(out, image)
     out.put(0, 1)
     _put_image(out, image, main=True)
-    body = out.data()
+    return _riff(out.data())
+
+
+def _riff(body: bytes) -> bytes:
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
 
@@ -1058,6 +1342,274 @@ def store(payload: bytes) -> bytes:
     return write_pixels(pixels.view(np.uint32).reshape(-1, across))
 
 
+class _Pictures:
+    """Payloads of whole rows written as pictures without transforms, all at once, exactly as ``store`` writes each."""
+
+    def __init__(self, payloads: list[bytes]):
+        self.set(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3), np.array([len(x) // 3 for x in payloads], np.int64))
+
+    def set(self, samples: np.ndarray, sizes: np.ndarray) -> None:
+        self.samples, self.sizes, self.n = samples, sizes, len(sizes)
+        self.ends = np.cumsum(sizes)
+        self.which = np.repeat(np.arange(self.n), sizes)
+
+    def _counted(self, which: np.ndarray, values: np.ndarray, width: int = 256) -> np.ndarray:
+        """How often each value occurs in each picture."""
+        return np.bincount(which * width + values, minlength=self.n * width).reshape(self.n, width)
+
+    def plain(self) -> np.ndarray:
+        """Which pictures take no transform."""
+        samples, begins = self.samples, self.ends - self.sizes
+        red, green, blue = (self._counted(self.which, samples[:, k]) for k in range(3))
+        own = _costs(red + green + blue, 15)
+        less_green, left, top = samples.copy(), samples.reshape(-1, WIDTH, 3).copy(), samples.reshape(-1, ROW_BYTES).copy()
+        less_green[:, ::2] -= samples[:, 1:2]
+        left[:, 1:] -= samples.reshape(-1, WIDTH, 3)[:, :-1]
+        top[1:] -= samples.reshape(-1, ROW_BYTES)[:-1]
+        top[begins // WIDTH] = samples.reshape(-1, ROW_BYTES)[begins // WIDTH]
+        wide = np.repeat(self.which, 3)
+        green_cost, left_cost, top_cost = (_costs(self._counted(wide, x.ravel()), 15) for x in (less_green, left, top))
+        signed = np.ones((4, len(samples)), np.int64)
+        signed[:3] = samples.view(np.int8)[:, ::-1].T
+        products = np.empty((self.n, 4, 4))
+        for i in range(4):
+            for j in range(i, 4):
+                products[:, i, j] = products[:, j, i] = np.add.reduceat(signed[i] * signed[j], begins)
+        shares = np.array([_shares(x, n) for x, n in zip(products, self.sizes.tolist(), strict=True)])
+        crossed = shares.any(1)
+        some = crossed[self.which]
+        to_red, to_blue, red_blue = shares[self.which[some]].T
+        others, less = signed[:3, some], samples[some]  # of blue, green and red
+        less[:, 0] -= (to_red * others[1] >> 5).astype(np.uint8)
+        less[:, 2] -= ((to_blue * others[1] >> 5) + (red_blue * others[2] >> 5)).astype(np.uint8)
+        cross_cost = _costs(self._counted(np.repeat(self.which[some], 3), less.ravel()), 15)
+        crossed &= cross_cost + TABLE_BITS < np.minimum(TRANSFORM_WORTH * own, green_cost)
+        colour = samples.astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])
+        ordered = np.sort(colour | self.which << 24)
+        first, times = _runs(ordered)
+        picture = ordered[first] >> 24
+        colours = np.bincount(picture, minlength=self.n)
+        entropy = _entropy(self.sizes) - np.add.reduceat(_entropy(times), np.cumsum(colours) - colours)
+        palette = (colours <= 256) & (24 * colours + entropy / 256 + 5 * colours < np.minimum(own, _costs(red) + _costs(green) + _costs(blue)))
+        return ~(palette | crossed | (np.minimum(np.minimum(left_cost, top_cost), green_cost) < TRANSFORM_WORTH * own))
+
+    def _copies(self, pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_copies`` of each picture."""
+        key = np.sort(_three(pixels)[self.which[2:] == self.which[:-2]])
+        order, key = (key & PLACE).astype(np.int64), key & ~PLACE
+        same = (key[1:] == key[:-1]) & (self.which[order[1:]] == self.which[order[:-1]])
+        pairs = np.sort(order[1:][same] << PLACE_BITS | order[:-1][same])
+        later, earlier = pairs >> PLACE_BITS, pairs & int(PLACE)
+        most = np.minimum(self.ends[self.which[later]] - later, LONGEST_COPY)
+        ahead = np.lib.stride_tricks.sliding_window_view(np.append(pixels, np.zeros(16, np.uint32)), 16)
+        length = np.empty(len(later), np.int64)
+        for k in range(0, len(later), 1 << 16):
+            differ = ahead[later[k : k + (1 << 16)]] != ahead[earlier[k : k + (1 << 16)]]
+            length[k : k + (1 << 16)] = np.where(differ.any(1), differ.argmax(1), 16)
+        found, free = [], 0
+        for i, j, n, end in zip(later.tolist(), earlier.tolist(), np.minimum(length, most).tolist(), most.tolist(), strict=True):
+            if i < free:
+                continue
+            if n == 16:
+                n = _agreed(pixels, i, j, end)
+            if n >= SHORTEST_COPY and i - j <= FARTHEST:
+                found.append((i, n, i - j))
+                free = i + n
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def files(self) -> list[bytes]:
+        n, which = self.n, self.which
+        samples = self.samples.astype(np.int64)
+        pixels = (samples @ np.array([1 << 16, 1 << 8, 1]) | 255 << 24).astype(np.uint32)
+        at, length, distance = self._copies(pixels)
+        single = np.ones(len(pixels), bool)
+        single[_spans(at, length)] = False
+        place = np.flatnonzero(single)
+        cache_bits = np.clip(np.frexp(self.sizes)[1] - 2, 1, 10).astype(np.int64)
+        entry = _entry(pixels, (32 - cache_bits)[which])
+        order = np.sort((which << 11 | entry) << PLACE_BITS | np.arange(len(pixels))) & int(PLACE)
+        hit = np.zeros(len(pixels), bool)
+        hit[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & (which[order[1:]] == which[order[:-1]])
+        hit, entry, picture = hit[place], entry[place], which[place]
+        red, green, blue = samples[place].T
+        # with and without a colour cache
+        wide = 280 + 1024
+        with_cache = np.where(hit, 280 + entry, green)
+        few, rest = picture[~hit], ~hit
+        more, greens = self._counted(picture, with_cache, wide), self._counted(picture, green)
+        reds, blues, fewer_reds, fewer_blues = self._counted(picture, red), self._counted(picture, blue), self._counted(few, red[rest]), self._counted(few, blue[rest])
+        alphas, fewer_alphas = np.bincount(picture, minlength=n), np.bincount(few, minlength=n)
+        cached = _costs(fewer_blues) + _costs(fewer_reds) + 5 * (fewer_alphas > 0) + _costs(more) < CACHE_WORTH * (_costs(blues) + _costs(greens) + _costs(reds) + 5 * (alphas > 0))
+        cached &= fewer_alphas < alphas
+        hit &= cached[picture]
+        symbol = np.where(hit, with_cache, green)
+        cache_bits[~cached] = 0
+        counts = np.where(cached[:, None], more, 0)
+        counts[:, :256] = np.where(cached[:, None], more[:, :256], greens)
+        reds, blues = np.where(cached[:, None], fewer_reds, reds), np.where(cached[:, None], fewer_blues, blues)
+        alphas = np.where(cached, fewer_alphas, alphas)
+        copier = which[at]
+        length_symbol, length_extra, length_size = _all_prefixed(length)
+        far_symbol, far_extra, far_size = _all_prefixed(np.where(distance == WIDTH, 1, np.where(distance == 1, 2, distance + 120)))
+        counts += self._counted(copier, 256 + length_symbol, wide)
+        both = reds + blues
+        shared = _costs(blues) + _costs(reds) > SHARED_WORTH * (_costs(both) + 5 * np.count_nonzero(both, 1))
+        own = np.flatnonzero(~shared)
+        reds[shared] = both[shared]
+        of_blue = np.arange(n)
+        of_blue[own] = n + np.arange(len(own))
+        greens = _Codes(counts, 280 + np.where(cached, 1 << cache_bits, 0))
+        colours = _Codes(np.concatenate([reds, blues[own]]), np.full(n + len(own), 256))
+        fars = _Codes(self._counted(copier, far_symbol, 40), np.full(n, 40))
+        # tokens, by place
+        value, size = np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
+        values, sizes = greens.bits[picture, symbol], greens.lengths[picture, symbol].astype(np.int64)
+        literal = ~hit
+        for row, x in ((picture, red), (of_blue[picture], blue)):
+            values |= colours.bits[row, x] * literal << sizes
+            sizes += colours.lengths[row, x] * literal
+        value[place], size[place] = values, sizes
+        values, sizes = greens.bits[copier, 256 + length_symbol], greens.lengths[copier, 256 + length_symbol].astype(np.int64)
+        for x, k in ((length_extra, length_size), (fars.bits[copier, far_symbol], fars.lengths[copier, far_symbol]), (far_extra, far_size)):
+            values |= x << sizes
+            sizes += k
+        value[at], size[at] = values, sizes
+        begun = size > 0
+        # the parts of every file in their order
+        head = SIGNATURE | WIDTH - 1 << 8 | self.sizes // WIDTH - 1 << 22 | np.where(cached, 1 | cache_bits << 1, 0) << 41
+        alpha = np.where(alphas > 0, 1 | (255 << 1 | 1) << 2, 1), np.where(alphas > 0, 11, 4)
+        each = np.arange(n)
+        parts = [(each, head, np.where(cached, 47, 43)), greens.parts(each), colours.parts(each), colours.parts(of_blue), (each, *alpha), fars.parts(each), (which[begun], value[begun], size[begun])]
+        key = np.concatenate([(x << 3 | k).astype(np.uint16) for k, (x, _, _) in enumerate(parts)])
+        order = np.argsort(key, kind="stable")
+        picture, values, sizes = (key >> 3)[order].astype(np.int64), *(np.concatenate([x[k] for x in parts])[order] for k in (1, 2))
+        ends = np.cumsum(sizes)
+        last = np.cumsum(np.bincount(picture, minlength=n)) - 1
+        bits = np.diff(ends[last], prepend=0)
+        words = (bits + 63) // 64
+        begins = np.cumsum(words) - words
+        starts = ends - sizes + (64 * begins - ends[last] + bits)[picture]
+        data = _packed(values.astype(np.uint64), starts, int(words.sum()))
+        return [_riff(data[8 * k : 8 * k + (m + 7) // 8]) for k, m in zip(begins.tolist(), bits.tolist(), strict=True)]
+
+
+class _Codes:
+    """What ``_put_code`` writes for each row of counts, alphabets being of some widths."""
+
+    def __init__(self, counts: np.ndarray, widths: np.ndarray):
+        m = len(counts)
+        row, symbol = np.nonzero(counts)
+        times = np.bincount(row, minlength=m)
+        ends = np.cumsum(times)
+        symbols = np.append(symbol, 0)
+        first, last = np.where(times > 0, symbols[ends - times], 0), np.where(times > 0, symbols[ends - 1], 0)
+        simple = (times <= 2) & (last < 256)
+        two = simple & (times == 2)
+        head = 1 | two << 1 | np.where(first < 2, first << 1, first << 1 | 1) << 2
+        head_size = np.where(first < 2, 4, 11)
+        head |= np.where(two, last, 0) << head_size
+        head_size += 8 * two
+        self.lengths = np.zeros(counts.shape, np.uint8)
+        order = np.argsort(row << 32 | counts[row, symbol], kind="stable")
+        weights, depths = counts[row, symbol][order].tolist(), []
+        for end, n, plain in zip(ends.tolist(), times.tolist(), simple.tolist(), strict=True):
+            depths += [1 if n == 2 else 0] * n if plain else _tree(weights[end - n : end], LONGEST)
+        self.lengths[row, symbol[order]] = depths
+        self.bits = _code_bits(self.lengths)
+        # code lengths, told in runs
+        normal = np.flatnonzero(~simple)
+        told = np.arange(counts.shape[1]) < widths[normal, None]
+        flat, owner = self.lengths[normal][told], np.repeat(np.arange(len(normal)), widths[normal])
+        begins = np.flatnonzero(_new(flat) | _new(owner))
+        value, run = flat[begins].astype(np.int64), np.diff(begins, append=len(flat))
+        (kinds, extras, extra_sizes), token_begins = _all_run_tokens()
+        index = 2 * run + (value > 0)
+        n_tokens = token_begins[index + 1] - token_begins[index]
+        token = _spans(token_begins[index], n_tokens)
+        owner, kind = np.repeat(owner[begins], n_tokens), kinds[token]
+        kind = np.where(kind == 1, np.repeat(value, n_tokens), kind)
+        sizes = np.zeros((len(normal), 19), np.uint8)
+        for k, seen in enumerate(np.bincount(owner * 19 + kind, minlength=19 * len(normal)).reshape(-1, 19).tolist()):
+            used = sorted((c, x) for x, c in enumerate(seen) if c)
+            if len(used) == 1:
+                used.insert(0, (1, (used[0][1] + 1) % 16))
+            for (_, x), size in zip(used, _tree([c for c, _ in used], 7), strict=True):
+                sizes[k, x] = size
+        turned = _code_bits(sizes)
+        stored = sizes[:, CODE_LENGTH_ORDER].astype(np.int64)
+        held = np.maximum(4, 19 - (stored[:, ::-1] > 0).argmax(1))
+        head[normal] = held - 4 << 1 | (stored << 5 + 3 * np.arange(19)).sum(1)
+        head_size[normal] = 5 + 3 * held + 1
+        values = turned[owner, kind] | extras[token] << sizes[owner, kind]
+        rows = np.concatenate([np.arange(m) << 1, normal[owner] << 1 | 1])
+        order = np.argsort(rows.astype(np.uint16) if m < 1 << 15 else rows, kind="stable")
+        self.values = np.concatenate([head, values])[order]
+        self.sizes = np.concatenate([head_size, sizes[owner, kind] + extra_sizes[token]])[order]
+        self.n_parts = np.bincount(rows >> 1, minlength=m)
+        self.begins = np.cumsum(self.n_parts) - self.n_parts
+
+    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some rows: which of them, the numbers and their bits."""
+        at = _spans(self.begins[rows], self.n_parts[rows])
+        return np.repeat(np.arange(len(rows)), self.n_parts[rows]), self.values[at], self.sizes[at]
+
+
+def _code_bits(lengths: np.ndarray) -> np.ndarray:
+    """The bits of canonical codes, a row of lengths each."""
+    row, symbol = np.nonzero(lengths)
+    size, longest = lengths[row, symbol].astype(np.int64), lengths.max(1, initial=0).astype(np.int64)
+    order = np.argsort((row << 4 | size).astype(np.int32), kind="stable")
+    row, symbol, size = row[order], symbol[order], size[order]
+    shares = 1 << longest[row] - size
+    whole = np.where(longest > 0, 1 << longest, 0)
+    first = np.cumsum(shares) - shares - (np.cumsum(whole) - whole)[row]
+    out = np.zeros(lengths.shape, np.int64)
+    out[row, symbol] = _turned(LONGEST)[first] >> LONGEST - longest[row]
+    return out
+
+
+@lru_cache(1)
+def _all_run_tokens() -> tuple[np.ndarray, np.ndarray]:
+    """``_run_tokens`` of the values 0 and 1 for runs of all lengths, and where those of 2 * length + value begin."""
+    runs = [_run_tokens(value, n) for n in range(280 + 1024 + 1) for value in (0, 1)]
+    return np.array(list(itertools.chain.from_iterable(runs)), np.int64).T, np.cumsum([0, *map(len, runs)])
+
+
+def _all_prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    less = values - 1
+    n = np.maximum(np.frexp(less)[1].astype(np.int64) - 2, 0)
+    return np.where(values <= 4, less, 2 * n + (less >> n & 1) + 2), np.where(values <= 4, 0, less & (1 << n) - 1), n
+
+
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """Files of many payloads, as ``store`` writes them."""
+    found: list[bytes | None] = [None] * len(payloads)
+    part: list[int] = []
+    pixels = 0
+
+    def write() -> None:
+        if len(part) >= FEW_STREAMS:
+            together = _Pictures([payloads[k] for k in part])
+            plain = together.plain()
+            if plain.any():
+                together.set(together.samples[plain[together.which]], together.sizes[plain])
+                for k, file in zip(np.array(part)[plain].tolist(), together.files(), strict=True):
+                    found[k] = file
+        part.clear()
+
+    for k, payload in enumerate(payloads):
+        n = len(payload) // 3
+        if n > min(TOGETHER, WIDTH * TALLEST):
+            continue
+        if pixels + n > WRITTEN_TOGETHER or len(part) == MOST_STREAMS:
+            write()
+            pixels = 0
+        part.append(k)
+        pixels += n
+    write()
+    return [store(payload) if x is None else x for payload, x in zip(payloads, found, strict=True)]
+
+
 def pictures(media: bytes) -> Iterator[np.ndarray]:
     """Red, green, blue and alpha of each picture in the file."""
     at = 0
@@ -1076,6 +1628,37 @@ def restore(media: bytes) -> bytes:
     return b"".join(found)
 
 
+def restore_all(files: list[bytes]) -> list[bytes]:
+    """The payloads of many files, as ``restore`` gives them."""
+    found: list[bytes | None] = [None] * len(files)
+    part: list[tuple[int, WebpReader]] = []
+    pixels = 0
+
+    def read() -> None:
+        if len(part) >= FEW_STREAMS:
+            for (k, reader), image in zip(part, _Streams([r for _, r in part]).pixels(), strict=True):
+                if image is not None:
+                    shown = _channels(reader.finished(image)).reshape(-1, 4)
+                    found[k] = (shown if shown[:, 3].all() else shown[shown[:, 3] > 0])[:, 2::-1].tobytes()
+        part.clear()
+
+    for k, file in enumerate(files):
+        if len(file) < 12 or len(file) != 8 + struct.unpack_from("<I", file, 4)[0]:
+            continue  # several pictures, or none
+        reader = WebpReader(file)
+        reader.begin()
+        n = reader.inner * reader.height
+        if n > TOGETHER or not reader.one_group():
+            continue
+        if pixels + n > TOGETHER_ALL or len(part) == MOST_STREAMS:
+            read()
+            pixels = 0
+        part.append((k, reader))
+        pixels += n
+    read()
+    return [restore(file) if x is None else x for file, x in zip(files, found, strict=True)]
+
+
 def features(samples: np.ndarray) -> str:
     """Mean and deviation of each channel, and an average hash of 8 x 8 cells, in hexadecimal."""
     height = len(samples)
@@ -1095,7 +1678,7 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
             data = batch.column("_text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array([store(padded(x)) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array(store_all([padded(x) for x in data]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -1106,7 +1689,7 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, media_col):
-            payload = [restore(x) for x in batch.column(media_col).to_pylist()]
+            payload = restore_all(batch.column(media_col).to_pylist())
             shown = [features(np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 3)) for x in payload]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(shown, pa.string())], names=[*batch.schema.names, "payload", "feature"])
 
