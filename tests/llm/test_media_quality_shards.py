@@ -529,3 +529,11 @@ def test_together_reads_other_writers_files_and_refuses_broken_ones(monkeypatch)
         broken = b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
         with pytest.raises(media.WebpError):
             media.restore_all([*files, broken])
+
+
+def test_streams_with_longer_codes_are_read_alone(monkeypatch):
+    payloads = many_payloads()[:60]
+    stored = [media.store(x) for x in payloads]
+    for name, value in (("FEW_STREAMS", 1), ("LONGEST", 6)):
+        monkeypatch.setattr(media, name, value)
+    assert media.restore_all(stored) == payloads

@@ -46,7 +46,7 @@ EIGHT = np.arange(8, dtype=np.uint32)
 #: Pictures of fewer pixels are read symbol by symbol.
 FEW_PIXELS = 48
 #: Pictures that are read a token of each at a time: the fewest, the most pixels of one and of all, the most.
-FEW_STREAMS, TOGETHER, TOGETHER_ALL, MOST_STREAMS = 32, 1 << 15, 1 << 21, 1 << 12
+FEW_STREAMS, TOGETHER, TOGETHER_ALL, MOST_STREAMS = 32, 1 << 15, 1 << 21, 1 << 11
 #: Pixels of pictures that are written at once.
 WRITTEN_TOGETHER = 1 << 18
 #: Bytes of a stream that are looked up at once.
@@ -505,13 +505,16 @@ class _Streams:
         out.ravel()[_spans(first, times)] = np.repeat(value, times)
 
     def pixels(self) -> list[np.ndarray | None]:
-        """Pixels of each stream as the transforms left them; None where codes are too long together, and for the few
-        streams that were left over."""
+        """Pixels of each stream as the transforms left them; None where a code is longer than those written here, for its
+        table would be large, and for the few streams that were left over."""
         n = len(self.readers)
         cache_bits = np.array([r.cache_bits for r in self.readers], np.int64)
-        tables, codes, before = [], [], 0
+        tables, codes, before, fits = [], [], 0, np.ones(n, bool)
         for size in (280 + np.where(cache_bits > 0, 1 << cache_bits, 0), *(np.full(n, x) for x in (256, 256, 256, 40))):
-            table, begins, longest = _tables(self._lengths(size))
+            lengths = self._lengths(size)
+            fits &= lengths.max(1) <= LONGEST
+            lengths[~fits] = 0
+            table, begins, longest = _tables(lengths)
             tables.append(table)
             codes.append((begins + before, longest))
             before += len(table)
@@ -528,7 +531,7 @@ class _Streams:
         same = sum(table[codes[k][0]] for k in (1, 2, 3) if k not in varied)
         # rows: the stream, where its bits and its pixels are, its last pixel's end, and its codes' tables
         state = np.stack([np.arange(n), self.at, base, base + totals, *(x for begins, longest in codes for x in (begins, (1 << longest) - 1))])
-        state = state[:, (bits[:4].sum(0) <= 57) & (bits[0] + bits[4] <= 57 - 10 - 18)]
+        state = state[:, fits]  # of four codes, or of two with 10 and 18 bits more, the bits are seen at once
         copies, read = [np.zeros((4, 0), np.int64)], np.zeros(n, bool)
         while state.shape[1] >= FEW_STREAMS:
             stream, at, place, end, *codes = state
